@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, sharding, wavelet
+from . import exact_dedup, minhash, mixing, packing, sharding, wavelet
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("keep_locator")
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, per_hundred=80)
+
+
 def vocabulary(name: str) -> str:
     """Path of an installed public vocabulary."""
     import public_tokenizers
@@ -46,6 +50,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op6_sharding": op6_sharding,
     "op9_wavelet_tokens": op9_wavelet_tokens,
