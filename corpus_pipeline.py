@@ -1,20 +1,80 @@
-"""A training-corpus pipeline over the documents table."""
+"""A training-corpus pipeline over the documents table.
+
+Toxic documents go, then exact copies, then near copies (five-word shingles, similarity 0.8 or more, the smallest id of a
+group stays); sources, languages and topics are mixed to their target weights; what is left is packed into sequences.
+Every stage reads the whole table that the one before wrote. Rows without an id are kept by the stages that
+compare documents unless a row with an id has the same text; repeated rows count as one document.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinweave.llm import exact_dedup, minhash, mixing, packing, toxicity
+from kinweave.llm.common import Scratch, table
+from kinweave.llm.queries import vocabulary
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+#: Above the 0.3 of op8: a document that is dropped should rather be toxic than not.
+REJECT = 0.5
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows whose id is not in a table of ids; null matches null."""
+    gone = gone.select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    network = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.keep_clean(docs, network, threshold=REJECT)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = exact_dedup.exact_dedup(docs)
+    gone = found.where("not kept and keep_id is not null").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_text")).distinct()
+    digest = exact_dedup.sha256(exact_dedup.normalised(docs["text"]))
+    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (digest == gone["gone_text"]), "left_anti")
+    if found.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").isEmpty():
+        return left
+    return left.withColumn("_digest", exact_dedup.sha256(exact_dedup.normalised(F.col("text")))).dropDuplicates(["doc_id", "_digest"]).select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(docs, width=5, per_hundred=80)
+    return _without(docs, found.where("not kept and doc_id is not null"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, mixing.mix(docs).where("not kept"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
+#: A trained network decides the first stage, which SQL can't express; tests hold the stages against plain Python.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """All stages over the documents table, each written and read again."""
+    scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        if k:
+            scratch.drop(STAGES[k - 1][0])
     return docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, merkle, minhash, mixing, packing, sharding, substring, warc, wavelet
+from . import exact_dedup, merkle, minhash, mixing, packing, sharding, substring, toxicity, warc, wavelet
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op5_warc_packages": op5_warc_packages,
     "op6_sharding": op6_sharding,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_toxicity": op8_toxicity,
     "op9_wavelet_tokens": op9_wavelet_tokens,
     "op10_mixing": op10_mixing,
 }
