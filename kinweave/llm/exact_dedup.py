@@ -19,7 +19,11 @@ from pyspark.sql import functions as F
 from .common import Scratch, narrow
 
 BLANKS = r"[\x20\x09-\x0D]+"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State in RocksDB; many small stores shouldn't each reserve megabytes of disk beforehand.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Rows of one group whose bytes one task compares at a time.
 SALT_ROWS = 1000
 
@@ -44,9 +48,9 @@ def keyed_state(stream: DataFrame) -> DataFrame:
 
 def _run_state(spark: SparkSession, scratch: Scratch, keyed: DataFrame, trigger_bytes: int) -> DataFrame:
     """Feeds the staged rows through the stateful query in micro-batches and reads its final state back."""
-    conf = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(conf, None)
-    spark.conf.set(conf, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         source = spark.readStream.schema(keyed.schema).option("maxBytesPerTrigger", str(trigger_bytes)).parquet(scratch.at("keyed"))
         query = (
@@ -66,7 +70,8 @@ def _run_state(spark: SparkSession, scratch: Scratch, keyed: DataFrame, trigger_
             "groups",
         )
     finally:
-        spark.conf.unset(conf) if before is None else spark.conf.set(conf, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def exact_dedup(
