@@ -3,7 +3,7 @@
 Equal shingle sets collapse to a class first, so exact copies cost one row. Classes meet in the buckets of their bands;
 a bucket compares its members with one pivot, and only buckets whose members then still fall into several components
 go on: to a second pivot, and after that to all pairs across components, dealt in blocks of a grid so that no task
-holds a whole bucket and no pair is written before its signatures agree. Every link is confirmed on the full sets.
+holds a whole bucket; a block confirms its pairs itself and gives a forest of links, never all pairs. Every link is confirmed on the full sets.
 
 With 32 bands of 5 minima a pair at similarity 0.8 is missed with probability 3e-6 (less above), and a pair that shares
 a bucket passes the signature check unless its estimate is more than five standard deviations low.
@@ -124,6 +124,16 @@ def agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b).mean(-1) * 256 - 1) / 255
 
 
+def similar(left: np.ndarray, right: np.ndarray, per_hundred: int) -> bool:
+    """Whether 100 * common >= per_hundred * union, for sorted distinct sets."""
+    small, large = (left, right) if len(left) < len(right) else (right, left)
+    if not len(small) or 100 * len(small) < per_hundred * len(large):
+        return False
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    common = int((large[at] == small).sum())
+    return 100 * common >= per_hundred * (len(left) + len(right) - common)
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, per_hundred: int) -> DataFrame:
     """Pairs (u, v) whose full sets have 100 * common >= per_hundred * union."""
 
@@ -134,13 +144,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, per_hundred: int) -> DataFrame:
             for k, (a, b) in enumerate(zip(batch.column(2), batch.column(3))):
                 if u[k] != last:
                     last, left = u[k], np.frombuffer(a.as_buffer(), np.uint64)
-                right = np.frombuffer(b.as_buffer(), np.uint64)
-                small, large = (left, right) if len(left) < len(right) else (right, left)
-                if 100 * len(small) < per_hundred * len(large):
-                    continue
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                common = int((large[at] == small).sum())
-                if 100 * common >= per_hundred * (len(left) + len(right) - common):
+                if similar(left, np.frombuffer(b.as_buffer(), np.uint64), per_hundred):
                     keep.append(k)
             yield pa.RecordBatch.from_arrays([pa.array([c[k] for k in keep], pa.int64()) for c in (u, v)], ["u", "v"])
 
@@ -163,34 +167,44 @@ def _alike(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     return pairs.join(right, "v").join(left, "u").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def _grid(members: DataFrame, sizes: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
-    """Pairs across components of the same bucket whose signatures agree, over blocks of the bucket's square."""
+def _grid(members: DataFrame, sizes: DataFrame, sigs: DataFrame, sets: DataFrame, least: float, per_hundred: int) -> DataFrame:
+    """Confirmed links across components within buckets, over blocks of each bucket's square.
+
+    A cell compares signatures, then full sets, of the pairs that its links so far leave in different components, so it
+    gives a forest: fewer links than it has members.
+    """
     sides = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = members.join(sizes, "key").withColumn("sides", sides)
     dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("sides")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
     cells = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "doc_id", "component")
-    cells = cells.join(sigs.select("doc_id", "sig"), "doc_id")
+    cells = cells.join(sigs.select("doc_id", "sig").join(sets, "doc_id"), "doc_id")
 
-    def pairs(group: pd.DataFrame) -> pd.DataFrame:
+    def links(group: pd.DataFrame) -> pd.DataFrame:
         i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-        rows = group if i == j else group[group["mine"] == i]
-        cols = group if i == j else group[group["mine"] == j]
-        if not len(rows) or not len(cols):
-            return pd.DataFrame({"u": [], "v": []}, dtype="int64")
-        square = np.frombuffer(b"".join(cols["sig"]), np.uint8).reshape(len(cols), -1)
-        ids, comps = cols["doc_id"].to_numpy(), cols["component"].to_numpy()
+        own = group["mine"].to_numpy()
+        ids, sigs_ = group["doc_id"].to_numpy(), np.frombuffer(b"".join(group["sig"]), np.uint8).reshape(len(group), -1)
+        full = [np.frombuffer(m, np.uint64) for m in group["members"]]
+        # components as small numbers, merged as links are found
+        merged, sizes_ = np.unique(group["component"].to_numpy(), return_inverse=True)[1], np.array([len(f) for f in full])
+        cols = np.flatnonzero(own == j)
         us, vs = [], []
-        for doc, comp, sig in zip(rows["doc_id"], rows["component"], rows["sig"]):
-            hit = (comps != comp) & (agree(square, np.frombuffer(sig, np.uint8)) >= least)
-            if i == j:
-                hit &= ids > doc
-            vs.append(ids[hit])
-            us.append(np.full(int(hit.sum()), doc))
-        u, v = np.concatenate(us), np.concatenate(vs)
-        return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)}, dtype="int64")
-
-    return cells.groupBy("key", "i", "j").applyInPandas(pairs, "u long, v long").distinct()
+        for row in np.flatnonzero(own == i):
+            other = cols[cols > row] if i == j else cols
+            other = other[merged[other] != merged[row]]
+            near = 100 * np.minimum(sizes_[other], sizes_[row]) >= per_hundred * np.maximum(sizes_[other], sizes_[row])
+            other = other[near]
+            if len(other):
+                alike = agree(sigs_[other], sigs_[row])
+                other = other[np.argsort(-alike, kind="stable")][: int((alike >= least).sum())]
+            for col in other:
+                if merged[col] != merged[row] and similar(full[row], full[col], per_hundred):
+                    us.append(min(ids[row], ids[col]))
+                    vs.append(max(ids[row], ids[col]))
+                    merged[merged == merged[col]] = merged[row]
+        return pd.DataFrame({"u": us, "v": vs}, dtype="int64")
+
+    return cells.groupBy("key", "i", "j").applyInPandas(links, "u long, v long").distinct()
 
 
 def near_duplicates(
@@ -230,10 +244,11 @@ def near_duplicates(
         if step < PIVOT_ROUNDS:
             pivots = known.where("component = high").groupBy("key").agg(F.min("doc_id").alias("pivot"))
             pairs = known.where("component <> high").join(pivots, "key").select(F.least("doc_id", "pivot").alias("u"), F.greatest("doc_id", "pivot").alias("v")).distinct()
+            more = _links(pairs, sigs, sets, least, per_hundred)
         else:
             sizes = known.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-            pairs = _grid(known.select("key", "doc_id", "component"), sizes, sigs, least)
-        links.append(scratch.save(_links(pairs, sigs, sets, least, per_hundred), f"links{step}"))
+            more = _grid(known.select("key", "doc_id", "component"), sizes, sigs, sets, least, per_hundred)
+        links.append(scratch.save(more, f"links{step}"))
         every = links[0]
         for more in links[1:]:
             every = every.union(more)
