@@ -153,9 +153,14 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression over a value that is computed once; plain reuse would compute it at every mention."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def unit(v: Column) -> Column:
-    size = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(size > 0, x.cast("double") / size).otherwise(0.0))
+    scaled = lambda x, size: F.transform(x, lambda e: F.when(size > 0, e.cast("double") / size).otherwise(0.0))
+    return let(v, lambda x: let(F.sqrt(dot(x, x)), lambda size: scaled(x, size)))
 
 
 def dense_topk(queries: DataFrame, pool: DataFrame, k: int, blocks: int = 8) -> DataFrame:
@@ -262,5 +267,6 @@ def trigram_vectors(records: DataFrame, text: Column, dim: int = 64) -> DataFram
     """(id, vec): hashed character trigrams, for lack of a trained encoder."""
     padded = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.pmod(F.crc32(F.encode(F.substring(padded, i, F.lit(3)), "UTF-8")), F.lit(dim)))
-    counted = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.size(F.filter(grams, lambda g: g == d)).cast("double"))
+    bins = F.sequence(F.lit(0), F.lit(dim - 1))
+    counted = let(grams, lambda own: F.transform(bins, lambda d: F.size(F.filter(own, lambda g: g == d)).cast("double")))
     return records.select("id", unit(counted).alias("vec"))
