@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, narrow, partitions, slices, text_bytes, utf8
-from .words import hash_spans, spans, windows
+from .words import hash_spans, mix, spans, windows
 
 #: Bytes of text whose probes meet in one hash partition.
 PROBE_BYTES = 16 << 20
@@ -125,8 +125,26 @@ def _positions(ids: bytes, counts: bytes, steps: bytes) -> tuple[np.ndarray, np.
     return np.repeat(np.frombuffer(ids, np.int64), each), pos - np.repeat(base, each)
 
 
-def _hits(packets: DataFrame, block: int) -> DataFrame:
-    """(doc_id, pos): probes whose hash is that of an aligned block and occurs in two documents at least."""
+REPLY = "bucket int, ids binary, counts binary, at binary"
+
+
+def _replies(doc: np.ndarray, pos: np.ndarray, n: int) -> pd.DataFrame:
+    """Positions packed by bucket of documents, one row a bucket, so replies don't multiply with the partitions."""
+    bucket = (mix(doc.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
+    order = np.lexsort((pos, doc, bucket))
+    bucket, doc, pos = bucket[order], doc[order], pos[order]
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+    rows: list[tuple] = []
+    for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(doc)]):
+        own = doc[lo:hi]
+        begin = np.flatnonzero(np.diff(own, prepend=own[0] - 1))
+        counts = np.diff(np.append(begin, hi - lo)).astype(np.uint32)
+        rows.append((int(bucket[lo]), own[begin].tobytes(), counts.tobytes(), pos[lo:hi].astype("<u4").tobytes()))
+    return pd.DataFrame(rows, columns=["bucket", "ids", "counts", "at"])
+
+
+def _hits(packets: DataFrame, block: int, n: int) -> DataFrame:
+    """Replies (id, position): probes whose hash is that of an aligned block and occurs in two documents at least."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         hashes = np.concatenate([np.frombuffer(h, np.uint32) for h in group["hashes"]])
@@ -143,12 +161,9 @@ def _hits(packets: DataFrame, block: int) -> DataFrame:
         np.maximum.at(high, code, doc)
         shared = np.flatnonzero((low < high)[code])
         doc, pos = doc[shared], pos[shared]
-        order = np.lexsort((pos, doc))
-        doc, pos = doc[order], pos[order]
-        first = np.flatnonzero(np.diff(doc, prepend=doc[0] - 1 if len(doc) else 0))
-        return pd.DataFrame({"doc_id": doc[first], "at": [x.astype("<u4").tobytes() for x in np.split(pos, first[1:])] if len(first) else []})
+        return _replies(doc, pos, n)
 
-    return packets.groupBy("part").applyInPandas(run, "doc_id long, at binary")
+    return packets.groupBy("part").applyInPandas(run, REPLY)
 
 
 def _spread(docs: DataFrame, block: int, window: int, n: int) -> DataFrame:
@@ -162,7 +177,7 @@ def _spread(docs: DataFrame, block: int, window: int, n: int) -> DataFrame:
             for row, hits in enumerate(batch.column(2).to_pylist()):
                 size = int(at[row + 1] - at[row])
                 if size >= window:
-                    pos = np.concatenate([np.frombuffer(h, "<u4").astype(np.int64) for h in hits])
+                    pos = np.frombuffer(hits, "<u4").astype(np.int64)
                     np.add.at(mark, at[row] + np.maximum(0, pos - (window - block)), 1)
                     np.add.at(mark, at[row] + np.minimum(pos, size - window) + 1, -1)
             ok = np.flatnonzero((np.cumsum(mark)[: len(full)] > 0) & _inside(at, window, len(words)))
@@ -185,8 +200,8 @@ def _spread(docs: DataFrame, block: int, window: int, n: int) -> DataFrame:
     return docs.select("doc_id", "text", "hits").mapInArrow(run, "part int, ids binary, counts binary, hashes binary, steps binary")
 
 
-def _repeated(packets: DataFrame) -> DataFrame:
-    """(doc_id, at): starts of windows that a smaller id also has."""
+def _repeated(packets: DataFrame, n: int) -> DataFrame:
+    """Replies (id, position): starts of windows that a smaller id also has."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         hashes = np.concatenate([np.frombuffer(h, np.uint64) for h in group["hashes"]])
@@ -197,12 +212,9 @@ def _repeated(packets: DataFrame) -> DataFrame:
         np.minimum.at(low, code, doc)
         late = np.flatnonzero(low[code] < doc)
         doc, pos = doc[late], pos[late]
-        order = np.lexsort((pos, doc))
-        doc, pos = doc[order], pos[order]
-        first = np.flatnonzero(np.diff(doc, prepend=doc[0] - 1 if len(doc) else 0))
-        return pd.DataFrame({"doc_id": doc[first], "at": [x.astype("<u4").tobytes() for x in np.split(pos, first[1:])] if len(first) else []})
+        return _replies(doc, pos, n)
 
-    return packets.groupBy("part").applyInPandas(run, "doc_id long, at binary")
+    return packets.groupBy("part").applyInPandas(run, REPLY)
 
 
 def _cut(docs: DataFrame, window: int) -> DataFrame:
@@ -215,7 +227,7 @@ def _cut(docs: DataFrame, window: int) -> DataFrame:
             gone = np.zeros(len(starts) + 1, np.int32)
             for row, hits in enumerate(batch.column(2).to_pylist()):
                 if hits:
-                    pos = np.concatenate([np.frombuffer(h, "<u4").astype(np.int64) for h in hits])
+                    pos = np.frombuffer(hits, "<u4").astype(np.int64)
                     size = int(at[row + 1] - at[row])
                     pos = at[row] + pos[pos <= size - window]
                     np.add.at(gone, pos, 1)
@@ -241,8 +253,18 @@ def _cut(docs: DataFrame, window: int) -> DataFrame:
 _TO_SPACE = bytes(32 if b in (9, 10, 11, 12, 13) else b for b in range(256))
 
 
-def _gathered(hits: DataFrame) -> DataFrame:
-    return hits.groupBy(F.col("doc_id").alias("hit_id")).agg(F.collect_list("at").alias("hits"))
+def _gathered(replies: DataFrame, n: int) -> DataFrame:
+    """(hit_id, hits): all positions of a document in one binary, ascending."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        doc = np.concatenate([np.repeat(np.frombuffer(i, np.int64), np.frombuffer(c, np.uint32)) for i, c in zip(group["ids"], group["counts"])])
+        pos = np.concatenate([np.frombuffer(x, "<u4") for x in group["at"]])
+        order = np.lexsort((pos, doc))
+        doc, pos = doc[order], pos[order]
+        first = np.flatnonzero(np.diff(doc, prepend=doc[0] - 1))
+        return pd.DataFrame({"hit_id": doc[first], "hits": [x.tobytes() for x in np.split(pos, first[1:])]})
+
+    return replies.repartitionById(n, F.col("bucket")).groupBy("bucket").applyInPandas(run, "hit_id long, hits binary")
 
 
 def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -253,9 +275,9 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     rows = narrow(docs, id_col, text_col)
     n = partitions(spark, text_bytes(rows, "text"), PROBE_BYTES)
     own = F.coalesce(F.col("doc_id"), F.lit(int(NO_ID)))
-    hits = scratch.save(_gathered(_hits(_probe(rows, block, n).repartition(n, "part"), block)), "hits")
+    hits = scratch.save(_gathered(_hits(_probe(rows, block, n).repartitionById(n, F.col("part")), block, n), n), "hits")
     marked = scratch.save(rows.join(hits, own == F.col("hit_id")).select("doc_id", "text", "hits"), "marked")
-    again = _repeated(_spread(marked, block, window, n).repartition(n, "part"))
-    late = scratch.save(_gathered(again), "late")
+    again = _repeated(_spread(marked, block, window, n).repartitionById(n, F.col("part")), n)
+    late = scratch.save(_gathered(again, n), "late")
     scratch.drop("hits", "marked")
     return _cut(rows.join(late, own == F.col("hit_id"), "left"), window)
