@@ -308,6 +308,15 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
     return R.dense_topk(e.where("id % 10 = 0"), e.where("id % 10 <> 0"), 10)
 
 
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+  p AS (SELECT a.vec_id AS q, b.vec_id AS r, round(2 + list_cosine_similarity(a.v, b.v), 6) AS s FROM e a JOIN e b ON a.vec_id % 20 = 0)
+  SELECT q, r, round(s - 2, 6) AS score FROM p QUALIFY row_number() OVER (PARTITION BY q ORDER BY s DESC, r) <= 10""")
+def dense_search(spark: SparkSession, d: str) -> DataFrame:
+    """Every id divisible by 20 against all rows, itself among them."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return R.dense_topk(e.where("id % 20 = 0"), e, 10)
+
+
 @query(f"""WITH {S.UNIVERSE}, {S.TRUTH}, n AS (SELECT e.id, count(r) AS m FROM ent e LEFT JOIN truth ON e.id = q WHERE is_ref GROUP BY e.id)
   SELECT least(m, 15) AS matches, count(*) AS records FROM n GROUP BY 1""")
 def match_histogram(spark: SparkSession, d: str) -> DataFrame:
