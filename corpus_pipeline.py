@@ -2,8 +2,8 @@
 
 Toxic documents go, then exact copies, then near copies (five-word shingles, similarity 0.8 or more, the smallest id of a
 group stays); sources, languages and topics are mixed to their target weights; what is left is packed into sequences.
-Every stage reads the whole table that the one before wrote. Rows without an id are kept by the stages that
-compare documents unless a row with an id has the same text; repeated rows count as one document.
+Every stage reads the whole table that the one before wrote. Each row is judged by itself: rows without an id come after
+all others, texts that share an id are different documents, and repeated rows count as one.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm import exact_dedup, minhash, mixing, packing, toxicity
-from kinweave.llm.common import Scratch, table
+from kinweave.llm.common import Scratch, partitions, table, text_bytes
 from kinweave.llm.queries import vocabulary
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -23,10 +23,20 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 REJECT = 0.5
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows whose id is not in a table of ids; null matches null."""
-    gone = gone.select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Rows with a column _row of their own, in the order of ids, null last: the id itself where ids are unique."""
+    if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        return docs.withColumn("_row", F.col("doc_id"))
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
+    parts = partitions(spark, text_bytes(docs, "text"))
+    dealt = docs.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return Scratch(spark, "keyed").save(dealt.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
+def _without(keyed: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows that an operator, which had _row as their id, keeps."""
+    gone = found.where("not kept").select(F.col("doc_id").alias("_row"))
+    return keyed.join(gone, "_row", "left_anti").drop("_row")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,22 +45,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = exact_dedup.exact_dedup(docs)
-    gone = found.where("not kept and keep_id is not null").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_text")).distinct()
-    digest = exact_dedup.sha256(exact_dedup.normalised(docs["text"]))
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (digest == gone["gone_text"]), "left_anti")
-    if found.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").isEmpty():
-        return left
-    return left.withColumn("_digest", exact_dedup.sha256(exact_dedup.normalised(F.col("text")))).dropDuplicates(["doc_id", "_digest"]).select(docs.columns)
+    keyed = _keyed(spark, docs)
+    return _without(keyed, exact_dedup.exact_dedup(keyed, id_col="_row"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = minhash.near_duplicates(docs, width=5, per_hundred=80)
-    return _without(docs, found.where("not kept and doc_id is not null"))
+    keyed = _keyed(spark, docs)
+    return _without(keyed, minhash.near_duplicates(keyed, width=5, per_hundred=80, id_col="_row"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, mixing.mix(docs).where("not kept"))
+    """A draw goes by id and is held against a cell's probability, so rows go by id and cell."""
+    gone = mixing.mix(docs).where("not kept").select(F.col("doc_id").alias("gone_id"), *[F.col(a).alias(f"gone_{a}") for a in mixing.AXES]).distinct()
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    own = {a: F.coalesce(docs[a].cast("string"), F.lit("")) for a in ("source", "lang")} | {"topic": mixing.surface_topic(text)}
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"])
+    for axis in mixing.AXES:
+        same = same & (own[axis] == gone[f"gone_{axis}"])
+    return docs.join(gone, same, "left_anti")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

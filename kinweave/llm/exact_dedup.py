@@ -5,7 +5,7 @@ the content locator (file) of the row that stays and the number of rows; it live
 and in the checkpoint folder. Rows that hit a key are compared by full bytes, and digests whose texts differ are
 regrouped by the texts themselves. DataFrame functions only.
 
-Defined results: null text counts as empty; a null id never stays while its group has another id; repeated rows are
+Defined results: null text counts as empty; a null id comes after the other ids of its length; repeated rows are
 counted each and all carry the same answer; an empty table gives no rows; other columns are ignored.
 """
 

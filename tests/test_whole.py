@@ -2,6 +2,8 @@
 
 import random
 
+import corpus_pipeline
+from kinweave.llm import mixing
 from kinweave.plans import queries as linkage
 
 
@@ -15,3 +17,27 @@ def test_dense_search_returns_rows_whose_id_ends_in_zero(spark, tmp_path):
         got.setdefault(r.q, []).append(r.r)
     assert sorted(got) == [0, 20, 40] and all(len(v) == 10 for v in got.values())
     assert set(got[20][:2]) == {20, 30}
+
+
+def rows_left(df):
+    return sorted(map(tuple, df.select("doc_id", "text").collect()), key=str)
+
+
+def test_pipeline_judges_rows_by_themselves(spark):
+    words = [f"w{k}" for k in range(60)]
+    one, other = " ".join(words), " ".join(f"v{k}" for k in range(60))
+    rows = [(1, one), (5, one + " end"), (5, other), (None, one + " more"), (None, "lone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_left(corpus_pipeline.drop_near_copies(spark, docs, "")) == sorted([(1, one), (5, other), (None, "lone")], key=str)
+    docs = spark.createDataFrame([(1, "same text"), (2, "sametext"), (None, "same  text"), (7, "a b"), (7, "a b"), (7, "c")], "doc_id long, text string")
+    left = rows_left(corpus_pipeline.drop_copies(spark, docs, ""))
+    assert left == sorted([(None, "same  text"), (7, "a b"), (7, "c")], key=str)
+
+
+def test_pipeline_mixes_rows_by_cell(spark):
+    rows = [(k, "w " * 9, "en", "big") for k in range(40)] + [(100 + k, "w " * 9, "en", f"small{k % 12}") for k in range(60)]
+    rows += [(None, "w " * 9, "en", "big"), (None, "w " * 9, "en", "small3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    want = sorted(((r.doc_id, r.lang, r.source) for r in mixing.mix(docs).collect() if r.kept), key=str)
+    got = corpus_pipeline.mix_sources(spark, docs, "").select("doc_id", "lang", "source").collect()
+    assert sorted(map(tuple, got), key=str) == want and (None, "en", "small3") in want and (None, "en", "big") not in want
