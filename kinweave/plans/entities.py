@@ -31,7 +31,8 @@ def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records with leader and is_ref."""
     own = records(spark, sf_dir)
     lead = own.groupBy("country", "business_name").agg(F.min("id").alias("leader"))
-    return own.join(lead, ["country", "business_name"]).withColumn("is_ref", (F.col("id") == F.col("leader")) & (F.col("id") % 4 != 0))
+    same = own["country"].eqNullSafe(lead["country"]) & (own["business_name"] == lead["business_name"])
+    return own.join(lead, same).select(own["*"], "leader").withColumn("is_ref", (F.col("id") == F.col("leader")) & (F.col("id") % 4 != 0))
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

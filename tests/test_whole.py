@@ -41,3 +41,10 @@ def test_pipeline_mixes_rows_by_cell(spark):
     want = sorted(((r.doc_id, r.lang, r.source) for r in mixing.mix(docs).collect() if r.kept), key=str)
     got = corpus_pipeline.mix_sources(spark, docs, "").select("doc_id", "lang", "source").collect()
     assert sorted(map(tuple, got), key=str) == want and (None, "en", "small3") in want and (None, "en", "big") not in want
+
+
+def test_entity_view_keeps_rows_without_a_language(spark, tmp_path):
+    rows = [(1, "some name", "en"), (2, "some name", None), (3, "some name", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = linkage.QUERIES["entity_view"](spark, str(tmp_path)).collect()
+    assert {(r.id, r.country, r.leader) for r in got} == {(1, "en", 1), (2, None, 2), (3, None, 2)}
