@@ -32,7 +32,7 @@ PART = 16
 SECTION = 8
 WORDS, CHARS = 64, 48
 LEAF = 6  # hexadecimal digits of a leaf
-NODE = 10  # of a paragraph or section: 8 of its digest, then 2 of how many children (255: that or more)
+NODE = 16  # of a paragraph or section: 8 of its digest, then 8 of how many children
 LEVELS = ("grams", "words", "runs")
 
 
@@ -117,7 +117,7 @@ def fingerprints(texts: list[str]) -> list[str]:
             "|".join(
                 (
                     root.hex(),
-                    "".join(f"{d[:4].hex()}{min(n, 255):02x}" for d, n in sections),
+                    "".join(f"{d[:4].hex()}{n:08x}" for d, n in sections),
                     "".join(d[:4].hex() for d in paragraphs),
                     grams,
                     single[lo * LEAF : hi * LEAF] if hi - lo <= WORDS else "",
@@ -156,7 +156,6 @@ def locate(a: str, b: str) -> list[tuple[int, int]]:
     at, changed = 0, []
     for node in _pieces(left[1], NODE):
         size = int(node[8:], 16)
-        size = len(paragraphs) - at if size == 255 else size
         if sections[node]:
             sections[node] -= 1
         else:

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from kinweave.llm import mixing
+from kinweave.llm import merkle, mixing
 from kinweave.plans import queries as linkage
 
 
@@ -48,3 +48,10 @@ def test_entity_view_keeps_rows_without_a_language(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = linkage.QUERIES["entity_view"](spark, str(tmp_path)).collect()
     assert {(r.id, r.country, r.leader) for r in got} == {(1, "en", 1), (2, None, 2), (3, None, 2)}
+
+
+def test_locate_goes_on_after_a_long_section():
+    lines = ["same"] * 300 + [f"line {k} " + " ".join(f"w{k * 31 + i}" for i in range(30)) for k in range(40)]
+    before = "\n".join(lines)
+    lines[320] = "something else altogether"
+    assert merkle.locate(*merkle.fingerprints([before, "\n".join(lines)])) == [(320, 321)]
