@@ -111,7 +111,10 @@ def shard_rows(
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 24, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes whole rows as Parquet under shard=N/, in slot order, and returns them read back; ids must be unique here."""
-    placed = shard_rows(docs, shards, seed, id_col, text_col).select(F.col("doc_id").alias(id_col), "shard", "slot")
-    docs.join(placed, id_col).repartition("shard").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+    """Writes whole rows as Parquet under shard=N/, in slot order, and returns them read back; a row goes by its number, not its id."""
+    scratch = Scratch(docs.sparkSession, "write_shards")
+    numbered = scratch.save(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")  # numbers are fixed from here on
+    placed = shard_rows(numbered, shards, seed, "_row", text_col).select(F.col("doc_id").alias("_row"), "shard", "slot")
+    numbered.join(placed, "_row").drop("_row").repartition("shard").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+    scratch.drop("numbered")
     return docs.sparkSession.read.parquet(path)

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from kinweave.llm import merkle, mixing
+from kinweave.llm import merkle, mixing, sharding
 from kinweave.plans import queries as linkage
 
 
@@ -55,3 +55,10 @@ def test_locate_goes_on_after_a_long_section():
     before = "\n".join(lines)
     lines[320] = "something else altogether"
     assert merkle.locate(*merkle.fingerprints([before, "\n".join(lines)])) == [(320, 321)]
+
+
+def test_shard_files_hold_every_row_once(spark, tmp_path):
+    rows = [(k, f"t{k}") for k in range(20)] + [(None, "a"), (None, "b"), (3, "c"), (3, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.write_shards(docs, f"{tmp_path}/out", 4)
+    assert sorted(map(tuple, got.select("doc_id", "text").collect()), key=str) == sorted(rows, key=str)
