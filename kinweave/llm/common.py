@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,11 @@ from pyspark.sql import functions as F
 
 #: Uncompressed text that one task of a Python stage works through.
 TASK_BYTES = 24 << 20
+#: Bytes of one Arrow batch on its way to Python.
+BATCH_BYTES = 8 << 20
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: A join treats this many keys at most as hot, and none with fewer rows than HOT_ROWS.
+HOT_KEYS, HOT_ROWS = 1000, 1000
 
 _local_root: list[str] = []
 
@@ -123,6 +129,60 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -
             at = min(to, n)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
+    """Within it, Arrow batches that go to Python hold about ``size`` bytes, however long their rows are."""
+    before = spark.conf.get(BATCH_CONF)
+    spark.conf.set(BATCH_CONF, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_CONF, before)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Consecutive rows with equal leading ``keys`` columns, of batches sorted by them; one group is held at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        cut = np.zeros(n, bool)
+        for c in cols:
+            cut[1:] |= c[1:] != c[:-1]
+        if held:
+            last = held[-1]
+            cut[0] = any(last.column(k)[last.num_rows - 1].as_py() != batch.column(k)[0].as_py() for k in range(keys))
+        edges = [*np.flatnonzero(cut).tolist(), n]
+        at = 0
+        for to in edges:
+            if to > at:
+                held.append(batch.slice(at, to - at))
+                at = to
+            if to < n and held:
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], rows: str, how: str = "inner", least: int = HOT_ROWS) -> DataFrame:
+    """An equi-join whose hot keys don't meet in one task.
+
+    ``right`` has one row per key, with the number of ``left`` rows of that key in column ``rows`` (dropped). Keys that
+    hold more than a thousandth of all rows are a thousand at most, by arithmetic, so their rows are broadcast.
+    """
+    total = right.agg(F.coalesce(F.sum(rows), F.lit(0))).first()[0]
+    limit = max(least, int(total) // HOT_KEYS)
+    hot = right.where(F.col(rows) > limit).drop(rows)
+    if hot.isEmpty():
+        return left.join(right.drop(rows), on, how)
+    cold = right.where(F.col(rows) <= limit).drop(rows)
+    rest = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how)
+    return left.join(F.broadcast(hot), on).unionByName(rest)
+
+
 def ranges(df: DataFrame, id_col: str, n: int) -> list[int]:
     """At most ``n`` ascending ids that start ranges of about as many rows each; each is an id of the table.
 

@@ -1,15 +1,19 @@
 """Near-duplicate documents: MinHash bands, signature check, exact check on full shingle sets, star components.
 
-Equal shingle sets collapse to a class first, so exact copies cost one row. Classes meet in the buckets of their bands;
-a bucket compares its members with one pivot, and only buckets whose members then still fall into several components
-go on: to a second pivot, and after that to all pairs across components, dealt in blocks of a grid so that no task
-holds a whole bucket; a block confirms its pairs itself and gives a forest of links, never all pairs. Every link is confirmed on the full sets.
+Equal shingle sets collapse to a class first, so exact copies cost one row; classes, not ids, are what is linked.
+Classes meet in the buckets of their bands. A bucket compares its members with one pivot, and only buckets whose members
+then still fall into several components go on: to a second pivot, and after that to a grid of the members outside the
+largest component against all members, in cells of bounded size. A cell first compares signatures and names the members
+that have a partner; only for these are full sets fetched, and the cell then gives a forest of links, never all pairs.
+Every link is confirmed on the full sets. Stars are dealt in salted parts (the pivot's row is copied, not its members'),
+and buckets and classes with many rows are joined by broadcast, so no key is one task's.
 
 With 32 bands of 5 minima a pair at similarity 0.8 is missed with probability 3e-6 (less above), and a pair that shares
 a bucket passes the signature check unless its estimate is more than five standard deviations low.
 
-Defined results: null and empty texts have no shingles and stand alone; repeated ids are judged row
-by row; rows without an id take part but are never kept; an empty table gives no rows; other columns are ignored.
+Defined results: null and empty texts have no shingles and stand alone; texts that share an id are judged each by its
+own text, so rows of one id may fall into different components; rows without an id take part, link others, and are never
+kept (a component of such rows only has a null component_id); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,12 +21,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, narrow, slices, utf8
+from .common import Scratch, grouped, join_hot, narrow, slices, small_batches, utf8
 from .components import components
 from .words import LOWER, digest, hash_spans, mix, spans, windows
 
@@ -30,7 +33,9 @@ BANDS, ROWS = 32, 5
 #: Shingles that go through the hash functions at a time.
 CHUNK = 1 << 15
 #: Members of a bucket in one block of the grid.
-BLOCK = 512
+BLOCK = 256
+#: Members of one part of a pivot's star.
+STAR = 2048
 #: Rounds with one pivot a bucket before the grid.
 PIVOT_ROUNDS = 2
 
@@ -79,10 +84,10 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, set digest (hi, lo), bucket keys of the bands, and one byte of each minimum; of (doc_id, text)."""
+    """doc_id, mark, n_shingles, set digest (hi, lo), bucket keys of the bands, and one byte of each minimum; of (doc_id, mark, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             sets = shingle_sets(batch, width)
             full = [k for k, s in enumerate(sets) if len(s)]
             low = minima([sets[k] for k in full]) >> np.uint64(24)
@@ -96,27 +101,29 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).cast(pa.int64()),
+                    batch.column(1),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([m[0] for m in marks], pa.int64()),
                     pa.array([m[1] for m in marks], pa.int64()),
                     pa.array(bands, pa.list_(pa.int64())),
                     pa.array(sigs, pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "hi", "lo", "bands", "sig"],
+                ["doc_id", "mark", "n_shingles", "hi", "lo", "bands", "sig"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, hi long, lo long, bands array<long>, sig binary")
+    schema = "doc_id long, mark long, n_shingles long, hi long, lo long, bands array<long>, sig binary"
+    return docs.select("doc_id", "mark", "text").mapInArrow(run, schema)
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, members): the whole shingle set as 8-byte numbers; of (doc_id, text)."""
+    """(node, members): the whole shingle set as 8-byte numbers; of (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             sets = [s.tobytes() for s in shingle_sets(batch, width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "members"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sets, pa.binary())], ["node", "members"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, members binary")
+    return docs.select("node", "text").mapInArrow(run, "node long, members binary")
 
 
 def agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -134,132 +141,216 @@ def similar(left: np.ndarray, right: np.ndarray, per_hundred: int) -> bool:
     return 100 * common >= per_hundred * (len(left) + len(right) - common)
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, per_hundred: int) -> DataFrame:
-    """Pairs (u, v) whose full sets have 100 * common >= per_hundred * union."""
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Signatures as rows of bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            u, v, keep = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            last, left = None, np.zeros(0, np.uint64)
-            for k, (a, b) in enumerate(zip(batch.column(2), batch.column(3))):
-                if u[k] != last:
-                    last, left = u[k], np.frombuffer(a.as_buffer(), np.uint64)
-                if similar(left, np.frombuffer(b.as_buffer(), np.uint64), per_hundred):
-                    keep.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array([c[k] for k in keep], pa.int64()) for c in (u, v)], ["u", "v"])
 
-    left = sets.select(F.col("doc_id").alias("u"), F.col("members").alias("a"))
-    right = sets.select(F.col("doc_id").alias("v"), F.col("members").alias("b"))
-    return pairs.join(right, "v").join(left, "u").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+def _stars(pairs: DataFrame, payload: DataFrame) -> DataFrame:
+    """(u, part, v, data) in runs of (u, part): the pivot's own row (null v) first, then its members'.
+
+    A star of many members is dealt to several parts, and each part gets a copy of the pivot's row.
+    """
+    sizes = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.withColumn("parts", F.ceil(F.col("n") / STAR).cast("int"))
+    part = F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")
+    data = payload.columns[1]
+    dealt = join_hot(pairs, sizes, ["u"], "n").select("u", part.alias("part"), "v")
+    members = dealt.join(payload.select(F.col("node").alias("v"), data), "v").select("u", "part", "v", data)
+    pivots = sizes.join(payload.withColumnRenamed("node", "u"), "u").select("u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("v"), data)
+    return pivots.union(members).repartition("u", "part").sortWithinPartitions("u", "part", F.col("v").asc_nulls_first())
 
 
 def _alike(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
-    """Pairs whose signatures agree in at least that share: a byte-wise comparison in the JVM is not at hand, so Arrow."""
+    """Pairs whose signatures agree in at least that share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            head = np.asarray(batch.column(2).is_null())
+            sig = _matrix(batch.column(3))
+            spots = np.flatnonzero(head)
+            source = np.searchsorted(spots, np.arange(len(head)), "right") - 1
+            base = sig[spots[np.maximum(source, 0)]] if len(spots) else np.empty_like(sig)
+            if pivot is not None:
+                base[source < 0] = pivot
+            keep = ~head & (agree(base, sig) >= least)
+            if len(spots):
+                pivot = sig[spots[-1]]
+            yield batch.select(["u", "v"]).filter(pa.array(keep))
+
+    return _stars(pairs, sigs.select("node", "sig")).mapInArrow(run, "u long, v long")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, per_hundred: int) -> DataFrame:
+    """Pairs (u, v) whose full sets have 100 * common >= per_hundred * union. A set is one row of a star, the pivot's is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot = np.zeros(0, np.uint64)
         for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
-                yield batch.select(["u", "v"]).filter(pa.array(agree(a, b) >= least))
+            head, keep = np.asarray(batch.column(2).is_null()), np.zeros(batch.num_rows, bool)
+            for k, data in enumerate(batch.column(3)):
+                own = np.frombuffer(data.as_buffer(), np.uint64)
+                if head[k]:
+                    pivot = own.copy()
+                else:
+                    keep[k] = similar(pivot, own, per_hundred)
+            yield batch.select(["u", "v"]).filter(pa.array(keep))
 
-    left = sigs.select(F.col("doc_id").alias("u"), F.col("sig").alias("a"))
-    right = sigs.select(F.col("doc_id").alias("v"), F.col("sig").alias("b"))
-    return pairs.join(right, "v").join(left, "u").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    return _stars(pairs, sets).mapInArrow(run, "u long, v long")
 
 
-def _grid(members: DataFrame, sizes: DataFrame, sigs: DataFrame, sets: DataFrame, least: float, per_hundred: int) -> DataFrame:
-    """Confirmed links across components within buckets, over blocks of each bucket's square.
+def _cells(known: DataFrame) -> DataFrame:
+    """(key, i, j, side, node, component): members outside a bucket's largest component (side 0) against all (side 1)."""
+    each = known.groupBy("key", "component").agg(F.count(F.lit(1)).alias("own"))
+    sizes = each.groupBy("key").agg(F.sum("own").alias("n"), F.max(F.struct("own", "component")).alias("top"))
+    sizes = sizes.select("key", "n", F.col("top.component").alias("most"), (F.col("n") - F.col("top.own")).alias("few"))
+    sizes = sizes.withColumn("rows", F.ceil(F.col("few") / BLOCK).cast("int")).withColumn("cols", F.ceil(F.col("n") / BLOCK).cast("int"))
+    dealt = join_hot(known.select("key", "node", "component"), sizes, ["key"], "n")
 
-    A cell compares signatures, then full sets, of the pairs that its links so far leave in different components, so it
-    gives a forest: fewer links than it has members.
-    """
-    sides = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = members.join(sizes, "key").withColumn("sides", sides)
-    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("sides")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-    cells = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "doc_id", "component")
-    cells = cells.join(sigs.select("doc_id", "sig").join(sets, "doc_id"), "doc_id")
-
-    def links(group: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-        own = group["mine"].to_numpy()
-        ids, sigs_ = group["doc_id"].to_numpy(), np.frombuffer(b"".join(group["sig"]), np.uint8).reshape(len(group), -1)
-        full = [np.frombuffer(m, np.uint64) for m in group["members"]]
-        # components as small numbers, merged as links are found
-        merged, sizes_ = np.unique(group["component"].to_numpy(), return_inverse=True)[1], np.array([len(f) for f in full])
-        cols = np.flatnonzero(own == j)
-        us, vs = [], []
-        for row in np.flatnonzero(own == i):
-            other = cols[cols > row] if i == j else cols
-            other = other[merged[other] != merged[row]]
-            near = 100 * np.minimum(sizes_[other], sizes_[row]) >= per_hundred * np.maximum(sizes_[other], sizes_[row])
-            other = other[near]
-            if len(other):
-                alike = agree(sigs_[other], sigs_[row])
-                other = other[np.argsort(-alike, kind="stable")][: int((alike >= least).sum())]
-            for col in other:
-                if merged[col] != merged[row] and similar(full[row], full[col], per_hundred):
-                    us.append(min(ids[row], ids[col]))
-                    vs.append(max(ids[row], ids[col]))
-                    merged[merged == merged[col]] = merged[row]
-        return pd.DataFrame({"u": us, "v": vs}, dtype="int64")
-
-    return cells.groupBy("key", "i", "j").applyInPandas(links, "u long, v long").distinct()
+    def side(which: int, own: str, other: str) -> Column:
+        mine = F.pmod(F.xxhash64("node", F.lit(which)), F.col(own)).cast("int")
+        spots = F.sequence(F.lit(0), F.col(other) - 1)
+        cell = (lambda x: F.struct(mine.alias("i"), x.alias("j"), F.lit(0).alias("side"))) if which == 0 else (lambda x: F.struct(x.alias("i"), mine.alias("j"), F.lit(1).alias("side")))
+        return F.transform(spots, cell)
+
+    spots = F.when(F.col("component") == F.col("most"), side(1, "cols", "rows")).otherwise(F.concat(side(0, "rows", "cols"), side(1, "cols", "rows")))
+    return dealt.select("key", "node", "component", F.explode(spots).alias("cell")).select("key", "cell.i", "cell.j", "cell.side", "node", "component")
+
+
+def _sorted_cells(cells: DataFrame) -> DataFrame:
+    return cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _partnered(cells: DataFrame, sigs: DataFrame, least: float, per_hundred: int) -> DataFrame:
+    """The rows of cells whose member has a partner in another component, as far as sizes and signatures tell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in grouped(batches, 3):
+            side, component, size = (cell.column(k).to_numpy() for k in (3, 5, 6))
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            if not len(left) or not len(right):
+                continue
+            sig = _matrix(cell.column(7))
+            found = np.zeros(len(side), bool)
+            for row in left.tolist():
+                other = right[component[right] != component[row]]
+                other = other[100 * np.minimum(size[other], size[row]) >= per_hundred * np.maximum(size[other], size[row])]
+                other = other[agree(sig[other], sig[row]) >= least]
+                if len(other):
+                    found[other] = found[row] = True
+            if found.any():
+                yield from cell.select(list(range(6))).filter(pa.array(found)).combine_chunks().to_batches()
+
+    dealt = _sorted_cells(cells.join(sigs.select("node", "n_shingles", "sig"), "node").select(*cells.columns, "n_shingles", "sig"))
+    return dealt.mapInArrow(run, cells.schema)
+
+
+def _forest(cells: DataFrame, sigs: DataFrame, sets: DataFrame, least: float, per_hundred: int) -> DataFrame:
+    """Confirmed links (u, v) of cells: only pairs that the links so far leave in different components are compared, so
+    a cell gives fewer links than it has members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in grouped(batches, 3):
+            side, node = cell.column(3).to_numpy(), cell.column(4).to_numpy()
+            # components as small numbers, merged as links are found
+            merged = np.unique(cell.column(5).to_numpy(), return_inverse=True)[1]
+            sig = _matrix(cell.column(6))
+            full = [np.frombuffer(m.as_buffer(), np.uint64) for chunk in cell.column(7).chunks for m in chunk]
+            size = np.array([len(f) for f in full])
+            right = np.flatnonzero(side == 1)
+            us, vs = [], []
+            for row in np.flatnonzero(side == 0).tolist():
+                other = right[merged[right] != merged[row]]
+                other = other[100 * np.minimum(size[other], size[row]) >= per_hundred * np.maximum(size[other], size[row])]
+                alike = agree(sig[other], sig[row])
+                for col in other[np.argsort(-alike, kind="stable")][: int((alike >= least).sum())].tolist():
+                    if merged[col] != merged[row] and similar(full[row], full[col], per_hundred):
+                        us.append(min(node[row], node[col]))
+                        vs.append(max(node[row], node[col]))
+                        merged[merged == merged[col]] = merged[row]
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+    dealt = cells.join(sigs.select("node", "sig"), "node").join(sets, "node").select(*cells.columns, "sig", "members")
+    return _sorted_cells(dealt).mapInArrow(run, "u long, v long").distinct()
 
 
 def near_duplicates(
     docs: DataFrame, width: int = 5, per_hundred: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "minhash")
-    rows = narrow(docs, id_col, text_col)
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(narrow(docs, id_col, text_col), width, per_hundred)
+
+
+def _near_duplicates(rows: DataFrame, width: int, per_hundred: int) -> DataFrame:
+    scratch = Scratch(rows.sparkSession, "minhash")
     margin = 5 * (per_hundred / 100 * (1 - per_hundred / 100) / (BANDS * ROWS)) ** 0.5
     least = per_hundred / 100 - margin
 
-    signed = scratch.save(signatures(rows, width), "signed")
-    slim = scratch.save(signed.select("doc_id", "n_shingles", "hi", "lo"), "slim")
-    classes = scratch.save(slim.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "classes")
-    reps = signed.where("n_shingles > 0").join(classes.select(F.col("hi"), F.col("lo"), F.col("rep").alias("doc_id")), ["doc_id", "hi", "lo"])
-    reps = scratch.save(reps.dropDuplicates(["doc_id", "hi", "lo"]).select("doc_id", "bands", "sig"), "reps")
-    scratch.drop("signed")
-
-    posted = reps.select(F.explode("bands").alias("key"), "doc_id")
-    shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("pivot")).where("n > 1")
-    members = scratch.save(posted.join(shared, "key"), "members")
-    ids = scratch.save(members.select("doc_id").distinct(), "ids")
-    sigs = scratch.save(reps.join(ids, "doc_id", "left_semi").select("doc_id", "sig").dropDuplicates(["doc_id", "sig"]), "sigs")
-    scratch.drop("reps")
-    sets = scratch.save(full_sets(rows.join(ids, "doc_id", "left_semi"), width), "sets")
-
-    links = [scratch.save(_links(members.where("doc_id <> pivot").select(F.col("pivot").alias("u"), F.col("doc_id").alias("v")).distinct(), sigs, sets, least, per_hundred), "links0")]
+    # a class is a shingle set; its text is read again by the id and the text's hash of one of its rows
+    marked = rows.withColumn("mark", F.xxhash64("text"))
+    signed = scratch.save(signatures(marked, width), "signed")
+    classes = signed.where("n_shingles > 0").groupBy("hi", "lo", "n_shingles").agg(
+        F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "mark")).alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")
+    )
+    classes = scratch.save(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+
+    posted = classes.select(F.explode("bands").alias("key"), "node")
+    buckets = scratch.save(posted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1"), "buckets")
+    members = scratch.save(join_hot(posted, buckets, ["key"], "n").select("key", "node", "pivot"), "members")
+    ids = members.select("node").distinct()
+    sigs = scratch.save(classes.join(ids, "node", "left_semi").select("node", "n_shingles", "sig", "rep"), "sigs")
+    reps = sigs.select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.mark").alias("mark"))
+    found_rows = marked.join(reps.withColumnRenamed("mark", "rep_mark"), (F.col("mark") == F.col("rep_mark")) & F.col("doc_id").eqNullSafe(F.col("rep_id")))
+    sets = scratch.save(full_sets(found_rows, width), "sets")
+    if sets.count() > sigs.count():  # a row that is there twice
+        sets = scratch.save(sets.dropDuplicates(["node"]), "sets_once")
+
+    pairs = members.where("node <> pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct()
+    links = [_links(pairs, sigs, sets, least, per_hundred, scratch, 0)]
     found = scratch.save(components(links[0], scratch, "a"), "found0")
     for step in range(1, PIVOT_ROUNDS + 1):
-        known = members.select("key", "doc_id", "n").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        known = known.withColumn("component", F.coalesce("component", "doc_id"))
-        spread = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-        known = scratch.save(known.join(spread, "key"), f"open{step}")
+        known = members.select("key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        spread = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
+        known = scratch.save(join_hot(known, spread, ["key"], "n"), f"open{step}")
         if known.isEmpty():
             break
         if step < PIVOT_ROUNDS:
-            pivots = known.where("component = high").groupBy("key").agg(F.min("doc_id").alias("pivot"))
-            pairs = known.where("component <> high").join(pivots, "key").select(F.least("doc_id", "pivot").alias("u"), F.greatest("doc_id", "pivot").alias("v")).distinct()
-            more = _links(pairs, sigs, sets, least, per_hundred)
+            pivots = known.where("component = high").groupBy("key").agg(F.min("node").alias("pivot"))
+            others = known.where("component <> high")
+            pivots = pivots.join(others.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
+            pairs = join_hot(others, pivots, ["key"], "n").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct()
+            more = _links(pairs, sigs, sets, least, per_hundred, scratch, step)
         else:
-            sizes = known.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-            more = _grid(known.select("key", "doc_id", "component"), sizes, sigs, sets, least, per_hundred)
-        links.append(scratch.save(more, f"links{step}"))
+            cells = scratch.save(_partnered(_cells(known), sigs, least, per_hundred), "cells")
+            more = scratch.save(_forest(cells, sigs, sets, least, per_hundred), f"links{step}")
+        links.append(more)
+        if more.isEmpty():
+            continue
         every = links[0]
         for more in links[1:]:
             every = every.union(more)
         found = scratch.save(components(every, scratch, f"b{step}_"), f"found{step}")
-    ofclass = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("hi", "lo", F.coalesce("component", "rep").alias("component_id"))
-    done = slim.join(scratch.save(ofclass, "ofclass"), ["hi", "lo"], "left")
-    done = done.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    done = scratch.save(done.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")), "done")
-    scratch.drop("members", "ids", "sigs", "sets", "slim", "classes", "ofclass")
+
+    of_class = classes.select("hi", "lo", "n_shingles", "node", "least_id", "copies").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least_ids = of_class.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    of_class = scratch.save(join_hot(of_class, least_ids, ["component"], "n").select("hi", "lo", "n_shingles", "component_id", "copies"), "of_class")
+    alone = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    linked = signed.where("n_shingles > 0").select("doc_id", "hi", "lo", "n_shingles")
+    linked = join_hot(linked, of_class, ["hi", "lo", "n_shingles"], "copies").select("doc_id", "n_shingles", "component_id")
+    done = alone.union(linked).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    done = scratch.save(done, "done")
+    scratch.drop("signed", "classes", "buckets", "members", "sigs", "sets", "of_class")
     return done
 
 
-def _links(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, least: float, per_hundred: int) -> DataFrame:
-    return confirm(_alike(pairs, sigs, least), sets, per_hundred)
+def _links(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, least: float, per_hundred: int, scratch: Scratch, step: int) -> DataFrame:
+    """Confirmed pairs, written; what passed the signatures is written too, as it is read by two sides of a star."""
+    pairs = scratch.save(pairs, f"pairs{step}")
+    alike = scratch.save(_alike(pairs, sigs, least), f"alike{step}")
+    links = scratch.save(confirm(alike, sets, per_hundred), f"links{step}")
+    scratch.drop(f"pairs{step}", f"alike{step}")
+    return links
