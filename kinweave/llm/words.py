@@ -17,6 +17,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _random = np.random.Generator(np.random.PCG64(20260101))
 _BYTE = _random.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = _random.integers(1, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_OTHER = _random.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -60,7 +61,7 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int = 1 << 20) -> np.ndarray:
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int = 1 << 20, table: np.ndarray = _BYTE) -> np.ndarray:
     """A 64-bit hash of each span of bytes: differences of prefix sums of a polynomial, mixed."""
     out = np.empty(len(starts), np.uint64)
     at = 0
@@ -69,13 +70,18 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: in
         to = max(at + 1, int(np.searchsorted(ends, low + limit, "right")))
         high = int(ends[to - 1])
         sums = np.zeros(high - low + 1, np.uint64)
-        np.cumsum(_BYTE[data[low:high]] * powers(_BASE, high - low), out=sums[1:])
+        np.cumsum(table[data[low:high]] * powers(_BASE, high - low), out=sums[1:])
         s, e = starts[at:to] - low, ends[at:to] - low
         out[at:to] = (sums[e] - sums[s]) * powers(_INVERSE, high - low + 1)[s]
         at = to
     return mix(out)
 
 
+def second(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Another hash of each span, with byte values of its own."""
+    return mix(hash_spans(data, starts, ends, table=_OTHER) ^ np.uint64(_BASE))
+
+
 def windows(words: np.ndarray, width: int) -> np.ndarray:
     """A 64-bit hash of each run of ``width`` word hashes; len(words) - width + 1 of them (none if fewer)."""
     n = len(words) - width + 1

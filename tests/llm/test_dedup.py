@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from kinweave.llm import exact_dedup, minhash, substring
+from kinweave.llm import common, exact_dedup, minhash, substring
 from kinweave.llm.common import Scratch
 from kinweave.llm.components import components
 
@@ -74,8 +74,11 @@ def test_near_edges(odd, none, odd_rows):
 
 
 def test_grid_blocks_find_links_that_pivots_miss(spark, monkeypatch):
-    """A chain of near copies whose ends are far apart, in buckets of several blocks."""
+    """A chain of near copies whose ends are far apart, in buckets of several blocks, stars of several parts, hot keys."""
     monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "STAR", 3)
+    monkeypatch.setattr(common, "HOT_KEYS", 10**9)
+    monkeypatch.setattr(common.join_hot, "__defaults__", ("inner", 5))
     base = [f"w{i}" for i in range(100)]
     rows = [(k, " ".join(base[2 * k :] + [f"v{j}" for j in range(2 * k)])) for k in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -83,6 +86,18 @@ def test_grid_blocks_find_links_that_pivots_miss(spark, monkeypatch):
     assert got == brute_near(rows, 2)
 
 
+def test_near_judges_rows_by_their_own_text(spark):
+    """Repeated ids with different texts, null ids, repeated rows: linked by text, kept by id."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    c = " ".join(f"c{i}" for i in range(40))
+    rows = [(5, a), (5, b), (3, b + " more"), (None, c), (None, c + " more"), (9, c + " other"), (None, a + " too"), (8, "one"), (8, "one"), (None, None), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect())
+    want = [(5, 36, 5, True), (5, 36, 3, False), (3, 37, 3, True), (None, 36, 9, False), (None, 37, 9, False), (9, 37, 9, True), (None, 37, 5, False)]
+    want += [(8, 1, 8, True), (8, 1, 8, True), (None, 0, None, False), (7, 0, 7, True)]
+    assert got == collections.Counter(want)
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 30)] + [(50, 40), (60, 50), (70, 71)] + [(90, x) for x in range(91, 99)]
     df = spark.createDataFrame(edges, "u long, v long")
@@ -92,27 +107,50 @@ def test_components(spark):
 
 
 def brute_substring(rows, width=50):
-    words = {d: re.findall(r"[^\x20\x09-\x0D]+", t or "") for d, t, *_ in rows}
+    """Counter of (doc_id, n_words, n_removed, kept_sha256), row by row; a null id is the largest."""
+    order = lambda d: float("inf") if d is None else d
+    words = [(d, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, t, *_ in rows]
     first = {}
-    for d in sorted(words):
-        for i in range(len(words[d]) - width + 1):
-            first.setdefault(tuple(words[d][i : i + width]), d)
-    out = {}
-    for d, w in words.items():
+    for d, w in words:
+        for i in range(len(w) - width + 1):
+            key = tuple(w[i : i + width])
+            first[key] = min(first.get(key, float("inf")), order(d))
+    out = collections.Counter()
+    for d, w in words:
         gone = [False] * len(w)
         for i in range(len(w) - width + 1):
-            if first[tuple(w[i : i + width])] < d:
+            if first[tuple(w[i : i + width])] < order(d):
                 gone[i : i + width] = [True] * width
         kept = " ".join(x for x, g in zip(w, gone) if not g)
-        out[d] = (len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest())
+        out[d, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()] += 1
     return out
 
 
-def test_substring(plain, odd, none, odd_rows):
-    rows, df = plain
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.substring_dedup(df).collect()}
-    want = brute_substring(rows)
-    assert got == want
-    assert sum(w[1] > 0 for w in want.values()) >= 11
-    assert substring.substring_dedup(odd).count() == len(odd_rows)
+def removed(df):
+    return collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.substring_dedup(df).collect())
+
+
+def test_substring(odd, none, odd_rows):
+    want = brute_substring(odd_rows)
+    assert removed(odd) == want
+    assert sum(w[2] > 0 for w in want) >= 11
     assert substring.substring_dedup(none).count() == 0
+
+
+def test_substring_of_few_rows_and_shared_ids(spark):
+    """Partitions without blocks; null and repeated ids whose texts differ; a passage at every offset."""
+    word = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    p = word("p", 60)
+    tables = [[(1, word("a", 30))], [(1, word("a", 60)), (2, word("b", 70))], [(1, p), (2, "x " + p)]]
+    tables += [[(1, p), (5, word("c", 10) + " " + p), (5, word("d", 120)), (None, p + " z"), (None, word("e", 90)), (None, p)]]
+    tables += [[(9, "same " * 300), (3, "same " * 200), (4, "same " * 49), (3, "same " * 60)]]
+    for rows in tables:
+        assert removed(spark.createDataFrame(rows, "doc_id long, text string")) == brute_substring(rows), rows
+
+
+def test_substring_in_two_steps(odd, odd_rows, monkeypatch):
+    """Small slices, and more partitions than one step deals to."""
+    monkeypatch.setattr(substring, "COARSE", 2)
+    monkeypatch.setattr(substring, "SLICE", 1 << 12)
+    monkeypatch.setattr(substring, "PROBE_BYTES", 8 << 10)
+    assert removed(odd) == brute_substring(odd_rows)
