@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from kinweave.llm import packing, wavelet
+from kinweave.llm import tokens as tokens_module
 from kinweave.llm.queries import vocabulary
 from kinweave.llm.tokens import tokens
 
@@ -21,6 +22,27 @@ def test_ids_are_the_librarys(name, kind):
     assert [g.tolist() for g in got] == [vocab.library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize("name,kind", [("byte_bpe_50k.json", "bytes"), ("word_bpe_49k.json", "words")])
+def test_ids_over_all_planes(name, kind):
+    """Code points of every plane, unassigned and lately assigned ones too, between letters, digits, blanks and quotes."""
+    vocab = tokens(vocabulary(name), kind)
+    points = [0x1C89, 0x1C8A, 0xA7CB, 0xA7DC, 0xFEFF, *(c for c in range(0, 0x110000, 37) if not 0xD800 <= c < 0xE000)]
+    texts = [f"a{chr(c)}b {chr(c)}{chr(c)}1{chr(c)}'s\ufeff{chr(c)}" for c in points]
+    ids, counts = vocab.encode(texts)
+    got = np.split(ids, np.cumsum(counts)[:-1])
+    want = vocab.library.encode_batch(texts, add_special_tokens=False)
+    assert [g.tolist() for g in got] == [w.ids for w in want]
+
+
+def test_ids_when_hashes_collide(monkeypatch):
+    """Long pre-tokens under one hash, in one slice and across slices, are told apart by their bytes."""
+    monkeypatch.setattr(tokens_module, "mix", lambda x: x * np.uint64(0))
+    vocab = tokens_module.Tokens(vocabulary("byte_bpe_50k.json"), "bytes")
+    for texts in (["alphabetical"], ["alphabetically ordered", "something", "abcdefg abcdefgh"], ["z" * 40, "z" * 41]):
+        ids, _ = vocab.encode(texts)
+        assert ids.tolist() == [i for t in texts for i in vocab.library.encode(t, add_special_tokens=False).ids]
+
+
 def test_packing(odd, odd_rows, none):
     rows = packing.pack(odd, vocabulary("byte_bpe_50k.json"), capacity=256).toPandas()
     library = tokens(vocabulary("byte_bpe_50k.json"), "bytes").library
