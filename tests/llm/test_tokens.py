@@ -60,29 +60,33 @@ def test_packing(odd, odd_rows, none):
     assert packing.pack(none, vocabulary("byte_bpe_50k.json")).count() == 0
 
 
-def test_plan_is_best_fit_decreasing():
-    """Against one document at a time on random lengths."""
+def test_ranges_swept_apart_match_as_one():
+    """Sweeps of ranges, settled by rank, give every document the gap that one sweep over all gives it, the best fit."""
     rnd = random.Random(5)
-    for _ in range(60):
-        counts = {rnd.randrange(1, 65): rnd.randrange(1, 30) for _ in range(rnd.randrange(1, 25))}
-        steps, opened = packing.plan(counts, 64)
-        gaps = []
-        for length in sorted(counts, reverse=True):
-            for _ in range(counts[length]):
-                fits = [k for k, g in enumerate(gaps) if g >= length]
-                k = min(fits, key=lambda k: gaps[k]) if fits else gaps.append(64) or len(gaps) - 1
-                gaps[k] -= length
-        assert opened == len(gaps)
-        used = {}
-        for length, rank, per, first, offset in steps.tolist():
-            nxt = [s for s in steps.tolist() if s[0] == length and s[1] > rank]
-            upto = min((s[1] for s in nxt), default=counts[length])
-            for r in range(rank, upto):
-                at = offset + (r - rank) % per * length
-                spot = used.setdefault(first + (r - rank) // per, set())
-                assert not spot & set(range(at, at + length)) and at + length <= 64
-                spot |= set(range(at, at + length))
-        assert sum(map(len, used.values())) == sum(k * v for k, v in counts.items())
+    for _ in range(200):
+        events = [(rnd.randrange(33, 65), packing.DOCUMENT, k, 0) for k in range(rnd.randrange(40))]
+        gaps = [(rnd.randrange(33, 200), packing.GAP, 100 + k) for k in range(rnd.randrange(30))]
+        events = sorted(events + [(f, g, n, max(1, f // 64)) for f, g, n in gaps], key=lambda e: (-e[0], -e[1], e[2]))
+        columns = lambda rows: [list(c) for c in zip(*rows)] or [[], [], [], []]
+        want, alone, _ = packing.sweep(*columns(events))
+        free, slots = [], {n: m for _, k, n, m in events if k == packing.GAP}
+        for size, kind, name, _ in events:  # one at a time: the least gap of those that hold it
+            if kind == packing.GAP:
+                free.append(name)
+            elif free:
+                assert (name, free[-1], size) in want
+                slots[free[-1]] -= 1
+                free = [f for f in free if slots[f]]
+        cuts = sorted(rnd.sample(range(len(events) + 1), min(4, len(events))))
+        got, left, lists = [], {}, {}
+        for part, (lo, hi) in enumerate(zip([0, *cuts], [*cuts, len(events)])):
+            matches, unplaced, open_ = packing.sweep(*columns(events[lo:hi]))
+            got += matches
+            lists[part] = unplaced, [n for n, m in open_ for _ in range(m)]
+            left[part] = len(unplaced), len(lists[part][1])
+        for part, low, high, other, top in packing.settle(left):
+            got += [(lists[part][0][r][0], lists[other][1][top - (r - low)], lists[part][0][r][1]) for r in range(low, high)]
+        assert sorted(got) == sorted(want) and len(want) + len(alone) == sum(k == packing.DOCUMENT for _, k, _, _ in events)
 
 
 def test_wavelet_round_trip(plain, odd, none, odd_rows):
