@@ -9,9 +9,10 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Uncompressed text that one task of a Python stage works through.
@@ -183,40 +184,31 @@ def join_hot(left: DataFrame, right: DataFrame, on: list[str], rows: str, how: s
     return left.join(F.broadcast(hot), on).unionByName(rest)
 
 
-def ranges(df: DataFrame, id_col: str, n: int) -> list[int]:
+def ranges(df: DataFrame, id_col: str, n: int, each: int = 20) -> np.ndarray:
     """At most ``n`` ascending ids that start ranges of about as many rows each; each is an id of the table.
 
-    Only these few numbers come to the driver.
+    A sample of about ``each`` ids a range comes to the driver, however many rows there are.
     """
-    if n < 2:
-        low = df.agg(F.min(id_col)).first()[0]
-        return [] if low is None else [int(low)]
-    at = [i / n for i in range(n)]
-    got = df.agg(F.min(id_col), F.percentile_approx(id_col, at, 100 * n)).first()
-    if got[0] is None:
-        return []
-    return sorted({int(got[0]), *map(int, got[1])})
-
-
-def range_of(id_col: str, starts: list[int]):
-    """Index of the range that an id falls into, as a column: a balanced tree of comparisons."""
-
-    def pick(lo: int, hi: int) -> str:
-        if hi - lo == 1:
-            return str(lo)
-        mid = (lo + hi) // 2
-        return f"if(`{id_col}` < {starts[mid]}L, {pick(lo, mid)}, {pick(mid, hi)})"
-
-    if len(starts) <= 64:
-        return F.expr(pick(0, max(1, len(starts))))
-    # deep trees are too much code for one expression: two levels of them
-    step = max(2, int(len(starts) ** 0.5))
-    tops = list(range(0, len(starts), step))
-
-    def outer(lo: int, hi: int) -> str:
-        if hi - lo == 1:
-            return pick(tops[lo], min(tops[lo] + step, len(starts)))
-        mid = (lo + hi) // 2
-        return f"if(`{id_col}` < {starts[tops[mid]]}L, {outer(lo, mid)}, {outer(mid, hi)})"
-
-    return F.expr(outer(0, len(tops)))
+    low, count = df.agg(F.min(id_col), F.count(id_col)).first()
+    if low is None:
+        return np.zeros(0, np.int64)
+    share = n * each / count
+    ids = df.select(id_col) if share >= 1 else df.select(id_col).sample(share, seed=17)
+    got = np.sort(ids.where(F.col(id_col).isNotNull()).toPandas()[id_col].to_numpy(np.int64))
+    picked = got[(np.arange(n) * len(got)) // n] if len(got) else got
+    return np.unique(np.append(picked, np.int64(low)))[:n] if n > 1 else np.array([low], np.int64)
+
+
+def place(spark: SparkSession, id_col: str, starts: np.ndarray) -> Column:
+    """Twice the index of the range that an id falls into, and one more if the id begins it.
+
+    The starts are broadcast as an array, so the plan stays small; only ids go through Python.
+    """
+    shared = spark.sparkContext.broadcast(starts)
+
+    @F.pandas_udf("long")
+    def spot(ids: pd.Series) -> pd.Series:
+        at = np.searchsorted(shared.value, ids.to_numpy(np.int64), "right") - 1
+        return pd.Series(2 * at + (shared.value[at] == ids.to_numpy(np.int64)))
+
+    return spot(F.col(id_col))

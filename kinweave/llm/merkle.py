@@ -2,11 +2,15 @@
 
 A paragraph is a line; a section ends at a blank line, before a heading (``#``) or at a paragraph whose digest says so
 (one in eight, so an edit moves no border far from it). A paragraph's digest covers its bytes, a section's its
-paragraphs' digests, the root's its sections'. Below paragraphs stand leaves: runs of words that end where a word's hash
-says so (one in eight), after 24 words, or with the line, long words counting as parts of 16 bytes; short texts also
-carry one leaf a word, and very short ones one per run of three characters (or per character). Equal roots mean equal texts; where roots differ, the branches that differ tell where.
+paragraphs' digests, the root's its sections'. Below a paragraph stand its leaves, one per byte: the hash of the eight
+bytes that end there (fewer where the paragraph begins). Equal roots mean equal texts; where roots differ, the branches
+that differ tell where, and the leaves tell how much.
 
-A fingerprint is a string: root, sections, paragraphs and leaf levels, as hexadecimal digits.
+A fingerprint keeps the leaves whose hash is below a power of two, the largest that leaves ``LEAVES`` distinct ones at
+most; two fingerprints are compared below the smaller of their bounds. So likeness means the same at every length (twice
+the shared distinct leaves over the sum of both numbers), exact up to ``LEAVES`` leaves and estimated beyond.
+
+A fingerprint is a string of hexadecimal digits: root, sections, paragraphs, and the bound's exponent with the leaves.
 
 Defined results: null text counts as empty; the next document of the last is the first (of a single one, itself); null
 ids come first; repeated ids are ordered by text; an empty table gives no rows; other columns are ignored.
@@ -23,43 +27,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow, partitions, range_of, ranges, slices, text_bytes
-from .words import _BASE, _INVERSE, hash_spans, mix, powers, spans
+from .common import narrow, partitions, place, ranges, slices, text_bytes
+from .words import mix
 
-RUN = 8
-LONG = 24  # words of a run at most
-PART = 16
 SECTION = 8
-WORDS, CHARS = 64, 48
-LEAF = 6  # hexadecimal digits of a leaf
+LEAVES = 128
+LEAF = 10  # hexadecimal digits of a leaf
 NODE = 16  # of a paragraph or section: 8 of its digest, then 8 of how many children
-LEVELS = ("grams", "words", "runs")
 
 
-def _combine(words: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """One hash for each run of words that begins at ``first``."""
-    n = len(words)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(words * powers(_BASE, n), out=sums[1:])
-    ends = np.append(first[1:], n)
-    return mix((sums[ends] - sums[first]) * powers(_INVERSE, n + 1)[first])
+def leaves(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of the eight bytes (of one line) that end at each byte of all texts, and where each text begins."""
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    at = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum([len(r) for r in raw], out=at[1:])
+    n = len(data)
+    eight = np.ndarray(n, "<u8", buffer=np.concatenate([np.zeros(7, np.uint8), data, np.zeros(1, np.uint8)]), strides=(1,))
+    begins = np.zeros(n + 1, bool)
+    begins[at] = True
+    begins[1:] |= data == 10
+    where = np.arange(n)
+    room = np.minimum(where - np.maximum.accumulate(np.where(begins[:n], where, 0)), 7)  # bytes of the line before this one
+    return mix(eight & _TOP[room]), at
 
 
-def _digits(hashes: np.ndarray) -> str:
-    """LEAF hexadecimal digits of each hash."""
-    return (hashes >> np.uint64(40)).astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:].tobytes().hex()
+_TOP = np.array([~((1 << 8 * (7 - k)) - 1) & (1 << 64) - 1 for k in range(8)], np.uint64)
 
 
-def _short(starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cuts long words into parts of ``PART`` bytes."""
-    if not (ends - starts > 2 * PART).any():
-        return starts, ends, at
-    parts = np.where(ends - starts > 2 * PART, -(-(ends - starts) // PART), 1)
-    before = np.concatenate([[0], np.cumsum(parts)])
-    nth = np.arange(before[-1]) - np.repeat(before[:-1], parts)
-    begin = np.repeat(starts, parts) + nth * PART
-    end = np.where(nth == np.repeat(parts, parts) - 1, np.repeat(ends, parts), begin + PART)
-    return begin, end, before[at]
+def sampled(hashes: np.ndarray) -> tuple[int, np.ndarray]:
+    """The exponent of the bound, and the distinct hashes below it, sorted."""
+    guess = 1 << 64
+    if len(hashes) > 8 * LEAVES:  # most are above the bound
+        guess = (1 << 64) * 6 * LEAVES // len(hashes)
+        some = np.unique(hashes[hashes < np.uint64(guess)])
+        if len(some) <= LEAVES:
+            some = np.unique(hashes)
+    else:
+        some = np.unique(hashes)
+    if len(some) <= LEAVES:
+        return 64, some
+    bits = int(some[LEAVES]).bit_length() - 1
+    return bits, some[: int(np.searchsorted(some, np.uint64(1 << bits)))]
 
 
 def _tree(text: bytes) -> tuple[bytes, list[tuple[bytes, int]], list[bytes]]:
@@ -87,44 +95,14 @@ def _tree(text: bytes) -> tuple[bytes, list[tuple[bytes, int]], list[bytes]]:
 def fingerprints(texts: list[str]) -> list[str]:
     """The fingerprint of each text."""
     raw = [t.encode() for t in texts]
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    offsets = np.zeros(len(raw) + 1, np.int64)
-    np.cumsum([len(r) for r in raw], out=offsets[1:])
-    starts, ends, at = _short(*spans(data, offsets))
-    words = hash_spans(data, starts, ends)
-    begins = np.zeros(len(words) + 1, bool)
-    begins[at] = True
-    begins[1:] |= words % np.uint64(RUN) == 0
-    lines = np.flatnonzero(data == 10)
-    begins[np.searchsorted(starts, lines)] = True
-    first = np.flatnonzero(begins[:-1])
-    sizes = np.diff(np.append(first, len(words)))
-    for lo, size in zip(first[sizes > LONG].tolist(), sizes[sizes > LONG].tolist()):  # one word over and over has no ends
-        begins[lo : lo + size : LONG] = True
-    first = np.flatnonzero(begins[:-1])
-    runs = _digits(_combine(words, first)) if len(first) else ""
-    single = _digits(words)
-    run_at = np.searchsorted(first, at)
+    hashes, at = leaves(raw)
     out = []
-    for k, (text, bytes_) in enumerate(zip(texts, raw)):
+    for k, bytes_ in enumerate(raw):
         root, sections, paragraphs = _tree(bytes_)
-        lo, hi = int(at[k]), int(at[k + 1])
-        grams = ""
-        if len(text) <= CHARS:
-            width = 3 if len(text) > 12 else 1
-            grams = "".join(hashlib.blake2b(text[i : i + width].encode(), digest_size=LEAF // 2).hexdigest() for i in range(max(1, len(text) - width + 1)))
-        out.append(
-            "|".join(
-                (
-                    root.hex(),
-                    "".join(f"{d[:4].hex()}{n:08x}" for d, n in sections),
-                    "".join(d[:4].hex() for d in paragraphs),
-                    grams,
-                    single[lo * LEAF : hi * LEAF] if hi - lo <= WORDS else "",
-                    runs[int(run_at[k]) * LEAF : int(run_at[k + 1]) * LEAF],
-                )
-            )
-        )
+        bits, kept = sampled(hashes[at[k] : at[k + 1]])
+        digits = (kept >> np.uint64(24)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes().hex()
+        parts = (root.hex(), "".join(f"{d[:4].hex()}{n:08x}" for d, n in sections), "".join(d[:4].hex() for d in paragraphs), f"{bits:02x}{digits}")
+        out.append("|".join(parts))
     return out
 
 
@@ -133,16 +111,15 @@ def _pieces(digits: str, size: int) -> list[str]:
 
 
 def likeness(a: str, b: str) -> float:
-    """0 to 1: shared leaves of the finest level that both have, over the mean of their numbers; 1 for equal roots."""
+    """0 to 1: twice the shared leaves over the sum of both numbers, below the smaller bound; 1 for equal roots."""
     left, right = a.split("|"), b.split("|")
     if left[0] == right[0]:
         return 1.0
-    level = next((k for k in (3, 4) if left[k] and right[k]), 5)
-    x, y = _pieces(left[level], LEAF), _pieces(right[level], LEAF)
-    if not x or not y:
-        return 0.0
-    # a text that differs is never wholly alike, even if its leaves agree (blanks may differ)
-    return min(2 * sum((Counter(x) & Counter(y)).values()) / (len(x) + len(y)), 1 - 1e-6)
+    bound = min(int(left[3][:2], 16), int(right[3][:2], 16))
+    below = f"{(1 << bound) - 1 >> 24:010x}"  # digits compare as the numbers do
+    x, y = ({leaf for leaf in _pieces(f[3][2:], LEAF) if leaf <= below} for f in (left, right))
+    # texts that differ are never wholly alike, even if the sampled leaves agree
+    return min(2 * len(x & y) / max(1, len(x) + len(y)), 1 - 1e-6)
 
 
 def locate(a: str, b: str) -> list[tuple[int, int]]:
@@ -212,13 +189,15 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("ord"))
     n = partitions(spark, text_bytes(rows, "text"))
     starts = ranges(rows.select("ord"), "ord", n)
-    if not starts:
+    if not len(starts):
         return spark.createDataFrame([], OUT)
     n = len(starts)
-    placed = rows.withColumn("part", range_of("ord", starts).cast("int"))
-    first = F.array_contains(F.array(*[F.lit(s) for s in starts]), F.col("ord")) if n <= 512 else F.col("ord").isin(starts)
-    spots = F.when(first, F.array(F.struct(F.col("part"), F.lit(0).alias("guard")), F.struct(F.pmod(F.col("part") - 1, F.lit(n)).alias("part"), F.lit(1).alias("guard"))))
-    spots = spots.otherwise(F.array(F.struct(F.col("part"), F.lit(0).alias("guard"))))
+    # the range of an id, twice, and one more if the id begins its range
+    placed = rows.withColumn("spot", place(spark, "ord", starts))
+    part = F.shiftright("spot", 1).cast("int")
+    home = F.struct(part.alias("part"), F.lit(0).alias("guard"))
+    ahead = F.struct(F.pmod(part - 1, F.lit(n)).alias("part"), F.lit(1).alias("guard"))
+    spots = F.when(F.col("spot") % 2 == 1, F.array(home, ahead)).otherwise(F.array(home))
     dealt = placed.select("doc_id", "text", "ord", F.explode(spots).alias("spot")).select("spot.part", "spot.guard", "ord", "doc_id", "text")
     dealt = dealt.repartitionById(n, F.col("part")).sortWithinPartitions("part", "guard", "ord", "text")
 

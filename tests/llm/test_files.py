@@ -30,6 +30,30 @@ def test_merkle_neighbours(plain, odd, none, odd_rows):
     assert merkle.compare_neighbours(one).first().near_next == 1.0
 
 
+def windows_of(text):
+    """Distinct runs of up to eight bytes that end at each byte and stay in its line."""
+    out = set()
+    for line in text.encode().splitlines(keepends=True) if "\r" not in text else []:
+        out |= {line[max(0, i - 7) : i + 1] for i in range(len(line))}
+    return out
+
+
+def test_likeness_is_the_share_of_leaves():
+    """Against sets of windows in plain Python: equal where no leaf is left out, near beyond; alike at every length."""
+    word = lambda k: "abcdefghij"[k % 10] * (1 + k % 3) + str(k)
+    for n in (0, 1, 2, 5, 12, 20, 64, 65, 300, 4000):
+        a = " ".join(word(7 * i) for i in range(n))
+        b = merkle.edit(a, "\n".join(word(5 * i + 3) for i in range(n)))
+        x, y = windows_of(a), windows_of(b)
+        exact = 2 * len(x & y) / max(1, len(x) + len(y)) if a != b else 1.0
+        got = merkle.likeness(*merkle.fingerprints([a, b]))
+        if max(len(x), len(y)) <= merkle.LEAVES:
+            assert abs(got - min(exact, 1)) < 1e-5, n
+        assert abs(got - exact) < 0.15, n
+        assert n < 2 or 0.3 < got < 0.8, n
+    assert merkle.likeness(*merkle.fingerprints(["ab", "aX"])) == 0.5
+
+
 def test_merkle_locates_edits():
     lines = [f"line {k} " + " ".join(f"w{k * 31 + i}" for i in range(30)) for k in range(40)]
     before = "\n".join(lines)
