@@ -16,13 +16,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, narrow
+from .common import Scratch, join_hot, narrow
 
 BLANKS = r"[\x20\x09-\x0D]+"
 #: State in RocksDB; many small stores shouldn't each reserve megabytes of disk beforehand.
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    # all stores of an executor share this much memory, however many partitions it holds
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
 }
 #: Rows of one group whose bytes one task compares at a time.
 SALT_ROWS = 1000
@@ -100,13 +103,15 @@ def exact_dedup(
         groups = _run_state(spark, scratch, keyed, trigger_bytes)
         scratch.drop("state")
     slim = keyed.select("doc_id", "n_chars", "digest")
-    found = scratch.save(slim.join(groups, "digest"), "found")
+    found = scratch.save(join_hot(slim, groups.withColumn("n", F.col("group_size")), ["digest"], "n"), "found")
     scratch.drop("keyed", "groups")
 
+    # rows of a group are read again by their id, or by their digest where they have none, and compared in salted parts
     hits = found.where("group_size > 1")
-    salt = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.ceil(F.col("group_size") / SALT_ROWS)).cast("long"))
-    seen = hits.select("doc_id", "digest", salt.alias("salt")).distinct()
-    whole = rows.select("doc_id", normalised(F.col("text")).alias("body")).join(seen, "doc_id")
+    salt = F.pmod(F.xxhash64("doc_id", "n_chars"), F.greatest(F.lit(1), F.ceil(F.col("group_size") / SALT_ROWS)).cast("long"))
+    seen = hits.select(F.coalesce("doc_id", F.xxhash64("digest")).alias("key"), "digest", salt.alias("salt")).distinct()
+    body = normalised(F.col("text"))
+    whole = rows.select(F.coalesce("doc_id", F.xxhash64(digest(body))).alias("key"), body.alias("body")).join(seen, "key")
     whole = whole.where(digest(F.col("body")) == F.col("digest"))
     part = whole.groupBy("digest", "salt").agg(F.min("body").alias("low"), F.max("body").alias("high"))
     differ = part.groupBy("digest").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high")

@@ -34,6 +34,12 @@ def test_exact_survives_digest_collisions(odd, odd_rows):
     assert collections.Counter((r.doc_id, r.keep_id, r.group_size) for r in got) == want
 
 
+def test_exact_compares_bytes_of_rows_without_ids(spark):
+    rows = [(1, "aaa"), (None, "bbb"), (None, "ccc"), (2, "bbb"), (None, "ccc ")]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), digest=lambda c: F.substring(F.sha2(c, 256), 1, 0)).collect()
+    assert collections.Counter((r.doc_id, r.keep_id, r.group_size) for r in got) == collections.Counter((d, k, n) for d, k, n, _ in brute_exact(rows).elements())
+
+
 def brute_near(rows, k, per=80):
     sets = {}
     for doc, text, *_ in rows:
