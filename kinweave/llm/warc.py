@@ -1,8 +1,9 @@
 """WARC records in ZIP packages: writing them, and reading single records by range without unpacking.
 
-A package is a ZIP file with stored members: ``archive/data.warc.gz`` (one gzip member a record) and
-``indexes/index.cdxj`` (one line a record with its offset and length). The reader takes the end of the file, its
-directory (ZIP64 where sizes ask for it), the place of a stored member's bytes, and then only the ranges it wants.
+A package is a ZIP file with stored members: ``archive/data.warc.gz`` (one gzip member a record, a warcinfo record
+first), ``indexes/index.cdxj`` (one line a record with its offset and length, sorted by the sort-friendly form of its
+URL) and ``datapackage.json`` (sizes and digests of the others). The reader takes the end of the file, its directory
+(ZIP64 where sizes ask for it), the place of a stored member's bytes, and then only the ranges it wants.
 
 Defined results: null html or url counts as empty; a null page_id is never referred to; equal payloads under one
 page_id are all responses; an empty table gives no rows; other columns are ignored.
@@ -11,6 +12,7 @@ page_id are all responses; an empty table gives no rows; other columns are ignor
 from __future__ import annotations
 
 import base64
+import bisect
 import gzip
 import hashlib
 import json
@@ -19,15 +21,16 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, join_hot
 
-DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+DATA, INDEX, ABOUT = "archive/data.warc.gz", "indexes/index.cdxj", "datapackage.json"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2026-01-01T00:00:00Z"
 #: Bytes of records after which a task starts another package.
@@ -166,13 +169,46 @@ class Package:
         lines = self.read(INDEX).decode().splitlines()
         return [json.loads(x.split(" ", 2)[2]) for x in lines]
 
+    def find(self, url: str) -> list[Record]:
+        """The records of a URL, by its place in the sorted index."""
+        lines, key = self.read(INDEX).decode().splitlines(), surt(url)
+        base, _ = self.locate(DATA)
+        out = []
+        for line in lines[bisect.bisect_left(lines, f"{key} ") :]:
+            if not line.startswith(f"{key} "):
+                break
+            x = json.loads(line.split(" ", 2)[2])
+            out.append(parse(gzip.decompress(self._at(base + x["offset"], x["length"]))))
+        return out
+
     def records(self) -> Iterator[Record]:
-        """Every record of the index, each by its own range."""
+        """Every record of the index in the order of the archive, each by its own range."""
         base, _ = self.locate(DATA)
-        for x in self.index():
+        for x in sorted(self.index(), key=lambda x: x["offset"]):
             yield parse(gzip.decompress(self._at(base + x["offset"], x["length"])))
 
 
+def surt(url: str) -> str:
+    """The sort-friendly form of a URL: the host's parts from the last to the first, then the path and the query."""
+    try:
+        parts = urlsplit(url)
+        host, port = parts.hostname or "", parts.port
+    except ValueError:
+        parts, host, port = None, "", None
+    if not host:
+        return quote(url.lower(), safe="!#$%&'()*+,/:;=?@[]~-._") or "-"
+    tail = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
+    place = ",".join(reversed(host.lower().split("."))) + (f":{port}" if port not in (None, 80, 443) else "")
+    return f"{quote(place, safe=',:-_')}){quote(tail.lower(), safe='!#$%&()*+,/:;=?@[]~-._' + chr(39))}"
+
+
+def info() -> bytes:
+    """The warcinfo record that begins an archive."""
+    body = b"software: kinweave\r\nformat: WARC File Format 1.1\r\n"
+    head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid4()}>\r\nWARC-Date: {DATE}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(body)}\r\n\r\n"
+    return head.encode() + body + b"\r\n\r\n"
+
+
 class PackageWriter:
     def __init__(self, uri: str):
         fs, path = pafs.FileSystem.from_uri(uri)
@@ -180,29 +216,42 @@ class PackageWriter:
         self._out = fs.open_output_stream(path)
         self._zip = zipfile.ZipFile(self._out, "w", zipfile.ZIP_STORED)
         self._data = self._zip.open(zipfile.ZipInfo(DATA), "w", force_zip64=True)
-        self.size, self._lines = 0, []
+        self.size, self._lines, self._sum = 0, [], hashlib.sha256()
+        self._write(info())
 
-    def add(self, page_id: int | None, url: str, payload: bytes, refers_to: int | None) -> None:
-        packed = gzip.compress(record(page_id, url, payload, refers_to), 1, mtime=0)
+    def _write(self, raw: bytes) -> int:
+        packed = gzip.compress(raw, 1, mtime=0)
         self._data.write(packed)
-        about = {"offset": self.size, "length": len(packed), "digest": f"sha1:{digest32(payload)}", "filename": DATA}
-        self._lines.append(f"{record_id(page_id)} {DATE} {json.dumps(about)}")
+        self._sum.update(packed)
         self.size += len(packed)
+        return len(packed)
+
+    def add(self, page_id: int | None, url: str, payload: bytes, refers_to: int | None) -> None:
+        about = {"url": url, "mime": "text/html" if refers_to is None else "warc/revisit", "status": "200", "digest": f"sha1:{digest32(payload)}", "offset": self.size}
+        about |= {"length": self._write(record(page_id, url, payload, refers_to)), "filename": DATA.rpartition("/")[2]}
+        self._lines.append(f"{surt(url)} {DATE.translate(_DIGITS)} {json.dumps(about)}")
 
     def close(self) -> int:
         self._data.close()
-        self._zip.writestr(zipfile.ZipInfo(INDEX), "\n".join(self._lines) + "\n")
+        index = "\n".join([*sorted(self._lines), ""]).encode()
+        self._zip.writestr(zipfile.ZipInfo(INDEX), index)
+        parts = ((DATA, self._sum.hexdigest(), self.size), (INDEX, hashlib.sha256(index).hexdigest(), len(index)))
+        resources = [{"name": n.rpartition("/")[2], "path": n, "hash": f"sha256:{h}", "bytes": b} for n, h, b in parts]
+        self._zip.writestr(zipfile.ZipInfo(ABOUT), json.dumps({"profile": "data-package", "created": DATE, "resources": resources}))
         self._zip.close()
         self._out.close()
         return len(self._lines)
 
 
+_DIGITS = str.maketrans("", "", "-:TZ")
+
+
 def references(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """(page_id, sha1, refers_to) of pages whose payload a smaller page_id has; of (page_id, html)."""
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     slim = pages.where(F.octet_length(F.coalesce("html", F.lit(""))) >= least_bytes).select("page_id", F.sha1(body).alias("sha1"))
-    first = slim.groupBy("sha1").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return slim.join(first, "sha1").where("page_id is null or page_id > refers_to").where("refers_to is not null")
+    first = slim.groupBy("sha1").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return join_hot(slim, first, ["sha1"], "n").where("page_id is null or page_id > refers_to").where("refers_to is not null")
 
 
 def write_packages(pages: DataFrame, path: str, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

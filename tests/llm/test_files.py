@@ -1,6 +1,8 @@
 import base64
 import collections
+import gzip
 import hashlib
+import json
 import zipfile
 import zlib
 
@@ -81,6 +83,27 @@ def test_warc_round_trip(spark):
     assert longer.where("record_type = 'revisit'").count() == 0
 
 
+def test_package_contents(tmp_path):
+    """A warcinfo record first, an index sorted by URL, digests of the members, and records by URL."""
+    uri = f"file://{tmp_path}/p.zip"
+    out = warc.PackageWriter(uri)
+    urls = ["https://www.example.org/b?q=1", "http://example.com:8080/", "http://a.example.org/x y", "not a url", "", "https://www.example.org/b?q=1", "http://[bad"]
+    for k, url in enumerate(urls):
+        out.add(k, url, f"body {k}".encode(), 0 if k == 5 else None)
+    assert out.close() == len(urls)
+    package = warc.Package(uri)
+    lines = package.read(warc.INDEX).decode().splitlines()
+    assert lines == sorted(lines) and len(lines) == len(urls) and any(x.startswith("org,example,www)/b?q=1 20260101000000 {") for x in lines)
+    assert [r.headers["warc-type"] for r in package.find("https://WWW.example.org/b?q=1")] == ["response", "revisit"]
+    assert package.find("http://example.com:8080/")[0].payload == b"body 1" and package.find("http://nowhere/") == []
+    about = json.loads(package.read(warc.ABOUT))
+    for part in about["resources"]:
+        raw = package.read(part["path"])
+        assert part["bytes"] == len(raw) and part["hash"] == "sha256:" + hashlib.sha256(raw).hexdigest()
+    assert gzip.decompress(package.read(warc.DATA)).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
+    assert [r.http["content-length"] for r in package.records()] == ["6"] * len(urls)
+
+
 def test_warc_zip64(tmp_path, monkeypatch):
     """With the limits lowered, sizes and offsets move into the ZIP64 fields."""
     monkeypatch.setattr(zipfile, "ZIP64_LIMIT", 100)
