@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from kinweave.llm import mixing, queries, toxicity
+from kinweave.llm.common import Scratch
 
 
 def corpus(n, seed):
@@ -88,6 +89,42 @@ def test_mixing(odd, odd_rows, none):
     got = mixing.mix(odd).collect()
     assert len(got) == len(odd_rows) and all(0 <= r.probability <= 1 for r in got)
     assert mixing.mix(none).count() == 0
+    again = mixing.mix(odd.repartition(2)).collect()
+    key = lambda r: (r.doc_id or -1, r.source, r.n_tokens, r.draw, r.kept)
+    assert sorted(map(key, got)) == sorted(map(key, again))  # draws go by id, or by text, not by partitions
+    assert len({r.draw for r in got if r.doc_id is None}) == 2
+
+
+def brute_rake(cells, shares, budget, rounds):
+    """Plain raking of {(source, lang, topic): tokens}."""
+    total = sum(cells.values())
+    weight = {c: t * budget for c, t in cells.items()}
+    for _ in range(rounds):
+        for k, axis in enumerate(mixing.AXES):
+            have = collections.Counter()
+            for c, w in weight.items():
+                have[c[k]] += w
+            weight = {c: min(cells[c], w * (shares[axis][c[k]] * total * budget / have[c[k]] if have[c[k]] else 0)) for c, w in weight.items()}
+    return weight
+
+
+def test_mixing_against_plain_raking(spark):
+    rnd = random.Random(8)
+    rows = [(k, "w " * rnd.randrange(1, 300) + rnd.choice(["", "|", "a license"]), rnd.choice("abc"), rnd.choice(["big"] * 5 + ["mid", "small"])) for k in range(300)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), rounds=5).collect()
+    cells = collections.Counter()
+    for r in got:
+        cells[r.source, r.lang, r.topic] += r.n_tokens
+    total, shares = sum(cells.values()), {}
+    for k, axis in enumerate(mixing.AXES):
+        own = collections.Counter()
+        for c, t in cells.items():
+            own[c[k]] += t
+        flat = {c: (t / total) ** 0.7 for c, t in own.items()}
+        shares[axis] = {c: f / sum(flat.values()) for c, f in flat.items()}
+    want = brute_rake(cells, shares, 0.8, 5)
+    assert all(abs(r.probability - want[r.source, r.lang, r.topic] / cells[r.source, r.lang, r.topic]) < 1e-9 for r in got)
+    assert all(r.kept == (r.draw < r.probability) for r in got)
 
 
 def test_raking_meets_marginals(spark):
@@ -106,6 +143,9 @@ def test_raking_meets_marginals(spark):
     total = sum(sums("source").values())
     assert abs(total / sum(r.n_tokens for r in got) - 0.4) < 1e-6
     assert abs(share("source")["small"] - 0.4) < 1e-6 and abs(share("lang")["fr"] - 0.3) < 1e-6
+    scratch = Scratch(spark, "t")
+    raked = mixing.raked_cells(scratch, spark.createDataFrame([(r.source, r.lang, r.topic, r.n_tokens) for r in got], "source string, lang string, topic string, n_tokens long"), targets, 0.4, 0.7, 20)
+    assert all(abs(r.wanted - r.weight) < 1e-4 * r.wanted for r in mixing.residuals(raked).collect())
     kept = sum(r.kept for r in got)
     assert abs(kept - sum(r.probability for r in got)) < 60
 
