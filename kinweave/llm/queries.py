@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import exact_dedup, merkle, minhash, mixing, packing, sharding, substring, toxicity, warc, wavelet
 from .common import table
+from .sql import ORACLE_SQL as ORACLE_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,14 +78,3 @@ QUERIES: dict[str, Query] = {
     "op9_wavelet_tokens": op9_wavelet_tokens,
     "op10_mixing": op10_mixing,
 }
-
-ORACLE_SQL: dict[str, str] = {
-    "op1_exact_dedup": r"""
-        WITH t AS (
-          SELECT doc_id, length(coalesce(text, '')) AS n,
-                 sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS h,
-          FROM documents),
-        g AS (SELECT h, first(doc_id ORDER BY n DESC, doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY h)
-        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM t JOIN g USING (h)
-    """,
-}
