@@ -19,9 +19,6 @@ from kinweave.llm.queries import vocabulary
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Above the 0.3 of op8: a document that is dropped should rather be toxic than not.
-REJECT = 0.5
-
 
 def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Rows with a column _row of their own, in the order of ids, null last: the id itself where ids are unique."""
@@ -41,7 +38,7 @@ def _without(keyed: DataFrame, found: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     network = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return toxicity.keep_clean(docs, network, threshold=REJECT)
+    return toxicity.keep_clean(docs, network)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,12 +52,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A draw goes by id and is held against a cell's probability, so rows go by id and cell."""
-    gone = mixing.mix(docs).where("not kept").select(F.col("doc_id").alias("gone_id"), *[F.col(a).alias(f"gone_{a}") for a in mixing.AXES]).distinct()
+    """A draw goes by id (by text without one) and is held against a cell's probability, so rows go by draw and cell."""
+    keys = ("draw", *mixing.AXES)
+    gone = mixing.mix(docs).where("not kept").select(F.col("doc_id").alias("gone_id"), *[F.col(a).alias(f"gone_{a}") for a in keys]).distinct()
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     own = {a: F.coalesce(docs[a].cast("string"), F.lit("")) for a in ("source", "lang")} | {"topic": mixing.surface_topic(text)}
+    own["draw"] = mixing.uniform(docs["doc_id"].cast("long"), text, mixing.SEED)
     same = docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"])
-    for axis in mixing.AXES:
+    for axis in keys:
         same = same & (own[axis] == gone[f"gone_{axis}"])
     return docs.join(gone, same, "left_anti")
 
