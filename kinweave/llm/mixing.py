@@ -24,6 +24,7 @@ from .common import Scratch, narrow
 
 AXES = ("source", "lang", "topic")
 WORD = r"[^\x20\x09-\x0D]+"
+SEED = 7
 #: Cells above which the table of probabilities isn't broadcast.
 BROADCAST_CELLS = 50_000
 
@@ -92,7 +93,7 @@ def mix(
     budget: float = 0.8,
     power: float = 0.7,
     rounds: int = 12,
-    seed: int = 7,
+    seed: int = SEED,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
