@@ -156,14 +156,27 @@ def _mask(tokens: Column, bits: dict[str, int]) -> Column:
     return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, t: a.bitwiseOR(F.coalesce(F.element_at(table, t), F.lit(0)).cast("long")))
 
 
-def profiles(records: DataFrame) -> DataFrame:
-    """Adds legal, noise (bit masks), wsig (64-bit signature of the other words), hnum, hlen (first number)."""
-    legal: dict[str, int] = {}
+def legal_bits() -> dict[str, int]:
+    """Word to the bits of the legal forms that it stands for."""
+    out: dict[str, int] = {}
     for form, listed in LEGAL_FORMS.items():
         for word in listed.split():
-            legal[word] = legal.get(word, 0) | BIT[form]
-    noise = {w: 1 << k for k, w in enumerate(NOISE_WORDS)}
-    sounds = {skeleton_of("private"): BIT["PVT"], skeleton_of("limited"): BIT["LTD"]}
+            out[word] = out.get(word, 0) | BIT[form]
+    return out
+
+
+def noise_bits() -> dict[str, int]:
+    return {w: 1 << k for k, w in enumerate(NOISE_WORDS)}
+
+
+def sound_bits() -> dict[str, int]:
+    """Skeletons that misspelt legal words share."""
+    return {skeleton_of("private"): BIT["PVT"], skeleton_of("limited"): BIT["LTD"]}
+
+
+def profiles(records: DataFrame) -> DataFrame:
+    """Adds legal, noise (bit masks), wsig (64-bit signature of the other words), hnum, hlen (first number)."""
+    legal, noise, sounds = legal_bits(), noise_bits(), sound_bits()
     tokens = _split("name_clean")
     plain = F.filter(tokens, lambda t: ~t.isin(list(legal)))
     other = F.filter(plain, lambda t: ~t.isin(list(noise)))

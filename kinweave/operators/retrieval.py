@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -61,45 +63,49 @@ def top(pairs: DataFrame, k: int, score: Column) -> DataFrame:
     return ranked.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k).drop("_rank")
 
 
+def shortlist(pairs: DataFrame, k_comb: int, k_name: int) -> DataFrame:
+    """(q, r, name_cos, addr_cos, score): best by name + address or by name, in one exchange by query; a pair in both
+    lists has its combined score."""
+    name, by = F.col("name_cos"), W.partitionBy("q")
+    summed = pairs.withColumn("_comb", F.round(name + F.col("addr_cos"), 6))
+    ranked = summed.withColumns({"_c": F.row_number().over(by.orderBy(F.desc("_comb"), "r")), "_n": F.row_number().over(by.orderBy(F.desc("name_cos"), "r"))})
+    first, second = (F.col("_c") <= k_comb) & (F.col("_comb") > 0), (F.col("_n") <= k_name) & (name > 0)
+    score = F.greatest(F.when(first, F.col("_comb")), F.when(second, name))
+    return ranked.where(first | second).select("q", "r", "name_cos", "addr_cos", score.alias("score"))
+
+
 class Index:
-    """Queries and a pool of prepared records (id, country, name_*, addr_*) with the postings that channels share."""
+    """Queries and a pool of prepared records (id, country, name_*, addr_*) with the postings that channels share.
 
-    def __init__(self, queries: DataFrame, pool: DataFrame, cap: int = 2500):
-        self.queries, self.pool, self.cap = queries, pool, cap
-        self._memo: dict[object, object] = {}
+    ``vectors`` (id, vec) are for the dense channel.
+    """
 
-    def _once(self, key: object, make: Callable[[], object]):
-        if key not in self._memo:
-            self._memo[key] = make()
-        return self._memo[key]
+    def __init__(self, queries: DataFrame, pool: DataFrame, cap: int = 2500, vectors: DataFrame | None = None):
+        self.queries, self.pool, self.cap, self.vectors = queries, pool, cap, vectors
+        self._memo: dict[object, tuple[DataFrame, DataFrame]] = {}
 
     def weights(self, kind: str, cap: int) -> tuple[DataFrame, DataFrame]:
         """Weighed postings of (queries, pool) for the base keys or the conjunction keys."""
-        fields = (("name", K.name_keys()), ("addr", K.addr_keys())) if kind == "base" else (("conj", K.conj_keys()),)
-
-        def make() -> tuple[DataFrame, DataFrame]:
+        if (kind, cap) not in self._memo:
+            fields = (("name", K.name_keys()), ("addr", K.addr_keys())) if kind == "base" else (("conj", K.conj_keys()),)
             own, other = postings(self.pool, *fields), postings(self.queries, *fields)
             found = frequencies(self.pool, own)
-            return cosine_weights(other, found, self.pool, cap), cosine_weights(own, found, self.pool, cap)
-
-        return self._once((kind, cap), make)
+            self._memo[kind, cap] = cosine_weights(other, found, self.pool, cap), cosine_weights(own, found, self.pool, cap)
+        return self._memo[kind, cap]
 
     def pair_scores(self, cap: int) -> DataFrame:
-        """name_cos and addr_cos of all pairs that share a key; read by several channels, so it is kept."""
-        return self._once(("pairs", cap), lambda: scores(*self.weights("base", cap)).persist())
-
-    def release(self) -> None:
-        for held in self._memo.values():
-            if isinstance(held, DataFrame):
-                held.unpersist()
-        self._memo.clear()
+        """name_cos and addr_cos of all pairs that share a key; nothing of it is kept, channels cut it down at once."""
+        return scores(*self.weights("base", cap))
 
 
 def base(index: Index, k_comb: int = 45, k_name: int = 10, cap: int = 2500) -> DataFrame:
     """Best by name + address, and best by name; a pair in both lists has its combined score."""
-    pairs = index.pair_scores(cap)
-    both = top(pairs, k_comb, F.col("name_cos") + F.col("addr_cos")).union(top(pairs, k_name, F.col("name_cos")))
-    return both.groupBy("q", "r").agg(F.max("score").alias("score"))
+    return base_pairs(index, k_comb, k_name, cap).select("q", "r", "score")
+
+
+def base_pairs(index: Index, k_comb: int = 45, k_name: int = 10, cap: int = 2500) -> DataFrame:
+    """The pairs of ``base`` with both cosines."""
+    return shortlist(index.pair_scores(cap), k_comb, k_name)
 
 
 def base_wide(index: Index, k: int = 200, cap: int = 2500) -> DataFrame:
@@ -163,19 +169,43 @@ def unit(v: Column) -> Column:
     return let(v, lambda x: let(F.sqrt(dot(x, x)), lambda size: scaled(x, size)))
 
 
-def dense_topk(queries: DataFrame, pool: DataFrame, k: int, blocks: int = 8) -> DataFrame:
-    """Exact top-k by cosine of embeddings; (id, vec) both. Partial lists per block of the pool keep every task's work to
-    one block; only k rows of each go on."""
-    q = queries.select(F.col("id").alias("q"), unit(F.col("vec")).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    p = pool.select(F.col("id").alias("r"), unit(F.col("vec")).alias("b"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    pairs = q.join(p, "block").select("q", "r", dot(F.col("a"), F.col("b")).alias("c"))
-    return top(pairs.withColumn("c", F.col("c") + 2), k, F.col("c")).withColumn("score", F.round(F.col("score") - 2, 6))
+#: Vectors of queries and of the pool that meet in one task.
+QUERY_BLOCK, POOL_BLOCK = 4096, 16384
+
 
+def dense_topk(queries: DataFrame, pool: DataFrame, k: int) -> DataFrame:
+    """Exact top-k by cosine of embeddings; (id, vec) both. Both sides are cut into blocks by their sizes; a cell of two
+    blocks is one matrix product, and only the k best of each query leave it."""
+    n_q, n_p = (max(1, -(-df.count() // each)) for df, each in ((queries, QUERY_BLOCK), (pool, POOL_BLOCK)))
 
-def dense(index: Index, vectors: DataFrame, k: int = 20, native_only: bool = True) -> DataFrame:
-    """Dense channel over given embeddings (id, vec) of queries and of native-script pool records."""
+    def spread(df: DataFrame, own: int, other: int, i: str, j: str) -> DataFrame:
+        return df.select("id", unit(F.col("vec")).alias("vec"), F.pmod(F.xxhash64("id"), F.lit(own)).cast("int").alias(i), F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(j))
+
+    def cell(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(p):
+            return pd.DataFrame({"q": [], "r": [], "c": []})
+        p = p.sort_values("id")
+        ids, against = p["id"].to_numpy(), np.stack(p["vec"].to_numpy())
+        out = []
+        for lo in range(0, len(q), 512):
+            c = np.round(np.stack(q["vec"].to_numpy()[lo : lo + 512]) @ against.T + 2, 6)
+            best = np.argsort(-c, axis=1, kind="stable")[:, :k]  # of equal scores the smaller id
+            rows = np.repeat(q["id"].to_numpy()[lo : lo + 512], best.shape[1])
+            out.append(pd.DataFrame({"q": rows, "r": ids[best.ravel()], "c": np.take_along_axis(c, best, 1).ravel()}))
+        return pd.concat(out)
+
+    kind = dict(queries.dtypes)["id"]
+    left, right = spread(queries, n_q, n_p, "i", "j"), spread(pool, n_p, n_q, "j", "i")
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(cell, f"q {kind}, r {kind}, c double")
+    return top(found, k, F.col("c")).withColumn("score", F.round(F.col("score") - 2, 6))
+
+
+def dense(index: Index, k: int = 20, native_only: bool = True) -> DataFrame:
+    """Dense channel over the index's embeddings of queries and of native-script pool records."""
+    if index.vectors is None:
+        raise ValueError("the dense channel needs an index with vectors")
     targets = index.pool.where("name_native") if native_only else index.pool
-    return dense_topk(index.queries.select("id").join(vectors, "id"), targets.select("id").join(vectors, "id"), k)
+    return dense_topk(index.queries.select("id").join(index.vectors, "id"), targets.select("id").join(index.vectors, "id"), k)
 
 
 CHANNELS: dict[str, Channel] = {
@@ -227,15 +257,23 @@ def fuse(lists: dict[str, DataFrame], m: int = 0) -> DataFrame:
 def retrieve(index: Index, spec: str, m: int = 0) -> DataFrame:
     """Fused candidates of a channel spec, with name_cos and addr_cos at the index's cap."""
     lists = {name: CHANNELS[name](index, **options) for name, options in parse_spec(spec)}
-    fused = fuse(lists, m).join(index.pair_scores(index.cap), ["q", "r"], "left")
-    return fused.fillna(0.0, ["name_cos", "addr_cos"])
+    return pair_cos(index, fuse(lists, m), index.cap)
 
 
 def legacy_candidates(index: Index, k_comb: int = 40, k_name: int = 10, cap: int = 2000) -> DataFrame:
     """Top by name + address or by name, with both cosines."""
-    pairs = index.pair_scores(cap)
-    kept = top(pairs, k_comb, F.col("name_cos") + F.col("addr_cos")).union(top(pairs, k_name, F.col("name_cos"))).select("q", "r").distinct()
-    return pairs.join(kept, ["q", "r"])
+    return base_pairs(index, k_comb, k_name, cap).drop("score")
+
+
+def pair_cos(index: Index, pairs: DataFrame, cap: int) -> DataFrame:
+    """Adds name_cos and addr_cos to given pairs (q, r), from the postings of these pairs only; 0 where no key is shared."""
+    wq, wp = index.weights("base", cap)
+    a = pairs.select("q", "r").join(wq.select(F.col("id").alias("q"), "country", "field", "k", F.col("w").alias("a")), "q")
+    b = wp.select(F.col("id").alias("r"), "country", "field", "k", F.col("w").alias("b"))
+    product = F.col("a") * F.col("b")
+    pick = lambda f: F.round(F.coalesce(F.sum(F.when(F.col("field") == f, product)), F.lit(0.0)), 6)
+    cos = a.join(b, ["r", "country", "field", "k"]).groupBy("q", "r").agg(pick("name").alias("name_cos"), pick("addr").alias("addr_cos"))
+    return pairs.join(cos, ["q", "r"], "left").fillna(0.0, ["name_cos", "addr_cos"])
 
 
 def pair_conj_cos(index: Index, pairs: DataFrame, cap: int = 500) -> DataFrame:
@@ -257,7 +295,7 @@ def pair_dense_cos(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
 def true_rank(index: Index, truth: DataFrame, cap: int = 2500) -> DataFrame:
     """Rank of each true pair (q, r) among all pool records by name + address; 0 where no weighed key is shared."""
     pairs = index.pair_scores(cap).withColumn("comb", F.col("name_cos") + F.col("addr_cos"))
-    mine = truth.join(pairs.select("q", "r", "comb"), ["q", "r"], "left").select("q", F.col("r").alias("t"), F.coalesce("comb", F.lit(0.0)).alias("mine"))
+    mine = pair_cos(index, truth.select("q", "r"), cap).select("q", F.col("r").alias("t"), (F.col("name_cos") + F.col("addr_cos")).alias("mine"))
     better = mine.join(pairs.select("q", "comb"), "q").where(F.col("comb") > F.col("mine") + 1e-6).groupBy("q", "t").agg(F.count(F.lit(1)).alias("better"))
     out = mine.join(better, ["q", "t"], "left")
     return out.select("q", F.col("t").alias("r"), F.when(F.col("mine") > 0, F.coalesce("better", F.lit(0)) + 1).otherwise(0).alias("comb_rank"))

@@ -102,9 +102,12 @@ def count_match(pairs: DataFrame, refs: DataFrame, thr: float, target: float) ->
     A shift changes no order, so it follows from one order statistic: the wanted number of winners' logits.
     """
     sizes = refs.groupBy("country").agg(F.count(F.lit(1)).alias("n"))
-    winners = pairs.withColumn("_won", won()).where("_won").join(refs.select("q", "country"), "q").withColumn("z", logit(F.col("p")))
-    place = F.row_number().over(W.partitionBy("country").orderBy(F.desc("z"), "q", "r"))
-    cut = winners.withColumn("_n", place).join(sizes, "country").where(F.col("_n") == F.greatest(F.lit(1), F.round(F.col("n") * target)))
+    winners = pairs.withColumn("_won", won()).where("_won").join(refs.select("q", "country"), "q")
+    # scores have six decimals, so a country has a bounded number of different ones
+    counted = winners.groupBy("country", F.round(logit(F.col("p")), 6).alias("z")).agg(F.count(F.lit(1)).alias("_m"))
+    upto = F.sum("_m").over(W.partitionBy("country").orderBy(F.desc("z")).rowsBetween(W.unboundedPreceding, 0))
+    want = F.greatest(F.lit(1), F.round(F.col("n") * target))
+    cut = counted.withColumn("_upto", upto).join(sizes, "country").where((F.col("_upto") >= want) & (F.col("_upto") - F.col("_m") < want))
     edge = math.log(thr / (1 - thr))
     return cut.select("country", F.round(F.lit(edge) - F.col("z"), 6).alias("delta"))
 

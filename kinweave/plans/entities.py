@@ -36,8 +36,8 @@ def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Prepared (reference, pool)."""
-    every = prepare(universe(spark, sf_dir), ascii_only=True)
+    """Prepared (reference, pool); kept, as every channel and feature reads them (``clearCache`` lets go)."""
+    every = prepare(universe(spark, sf_dir), ascii_only=True).persist()
     return every.where("is_ref"), every.where("not is_ref")
 
 

@@ -56,6 +56,17 @@ def normalize_addresses(spark: SparkSession, d: str) -> DataFrame:
     return run(E.universe(spark, d), ascii_only=True).select("id", "addr_clean", "addr_nums", "addr_alpha", "addr_skel", "addr_empty")
 
 
+@query(r"""SELECT doc_id, md5(f) AS folded_md5, len(regexp_extract_all(f, '[a-z0-9]+'))::INT AS n_words, NOT regexp_full_match(coalesce(text, ''), '[\x00-\x7F]*') AS folded
+    FROM (SELECT doc_id, text, lower(strip_accents(replace(replace(coalesce(text, ''), chr(8217), chr(39)), chr(8216), chr(39)))) AS f FROM documents)""")
+def fold_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Folding and words of whole texts in every script; the SQL holds as long as no compatibility forms occur."""
+    from ..functions.normalize import fold, words
+
+    text = F.coalesce("text", F.lit(""))
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", text.alias("text"), fold(text).alias("f"))
+    return docs.select("doc_id", F.md5(F.encode("f", "UTF-8")).alias("folded_md5"), F.size(words(F.col("f"))).alias("n_words"), (~F.col("text").rlike(r"\A[\x00-\x7F]*\z")).alias("folded"))
+
+
 # ---- retrieval -----------------------------------------------------------------------------------------------------
 
 
@@ -123,7 +134,7 @@ def owner_map(spark: SparkSession, d: str) -> DataFrame:
 def _scored(spark: SparkSession, d: str) -> tuple[R.Index, DataFrame]:
     """Base candidates with a plain score p, for the operators that follow a model."""
     index = E.index(spark, d)
-    pairs = R.base(index).select("q", "r").join(index.pair_scores(2500), ["q", "r"])
+    pairs = R.base_pairs(index).drop("score")
     return index, pairs.withColumn("p", F.round(0.6 * F.col("name_cos") + 0.4 * F.col("addr_cos"), 6))
 
 
@@ -263,13 +274,36 @@ def number_features(spark: SparkSession, d: str) -> DataFrame:
     return FT.number_features(sided).select("q", "r", F.col("a_num_jac").cast("double").alias("a_num_jac"), "a_first_num_eq")
 
 
+@query(f"""{_SIDED}, n AS (SELECT id, business_address <> '' AS has FROM ent)
+  SELECT pp.q, pp.r, (lcore = rcore)::INT AS n_core_eq, greatest(len(lcore), 1)::INT AS n_ntok_l, greatest(len(rcore), 1)::INT AS n_ntok_r,
+  round(CASE WHEN lcore = rcore THEN 1 ELSE jaro_winkler_similarity(array_to_string(lcore, ' '), array_to_string(rcore, ' ')) END, 6) AS n_jw,
+  (NOT y.has)::INT AS r_empty, x.has::INT AS l_ncomp, y.has::INT AS r_ncomp FROM pp JOIN n x ON x.id = pp.q JOIN n y ON y.id = pp.r""")
+def pair_flags(spark: SparkSession, d: str) -> DataFrame:
+    """The columns of the string features that plain SQL can say."""
+    index, pairs = _scored(spark, d)
+    names = ["n_core_eq", "n_ntok_l", "n_ntok_r", "r_empty", "l_ncomp", "r_ncomp"]
+    return FT.string_features(pairs, index.queries, index.pool).select("q", "r", *names, "n_jw")
+
+
 @query()
 def string_features(spark: SparkSession, d: str) -> DataFrame:
     index, pairs = _scored(spark, d)
     return FT.house_number_features(FT.string_features(pairs, index.queries, index.pool), index.queries, index.pool)
 
 
-@query()
+def _minus(a: str, b: str) -> str:
+    return f"bit_count({a} & ~{b})::INT"
+
+
+@query(f"""{_S}, {S.profiles(FT.legal_bits(), FT.noise_bits(), FT.sound_bits())}, nl AS (SELECT core, legal, count(*) AS n FROM pro WHERE is_ref GROUP BY core, legal),
+  f AS (SELECT s.*, a.core AS lc, b.core AS rc, a.legal AS ll, b.legal AS rl, a.noise AS ln_, b.noise AS rn, a.wsig AS lw, b.wsig AS rw, a.hnum AS lh, b.hnum AS rh, a.hlen AS lhl, b.hlen AS rhl,
+    a.hnum >= 0 AND b.hnum >= 0 AS both_, abs(a.hnum - b.hnum) AS off_ FROM scored s JOIN pro a ON s.q = a.id JOIN pro b ON s.r = b.id),
+  g AS (SELECT *, CASE WHEN both_ AND off_ > 0 THEN length(off_::VARCHAR) ELSE 0 END AS mag FROM f)
+  SELECT q, r, name_cos, addr_cos, p, coalesce(x.n, 0) AS namelg_s1dup, coalesce(y.n, 0) AS namelg_r_s1cnt, bit_count(ll)::INT AS lg_l_n, bit_count(rl)::INT AS lg_r_n,
+  {_minus('rl', 'll')} AS lg_add, {_minus('ll', 'rl')} AS lg_drop, bit_count(rl & ~ll & ~{FT.BIT['PVT'] | FT.BIT['LTD']}::BIGINT)::INT AS lg_add_other, (ll = rl)::INT AS lg_same,
+  (((ll & {FT.BIT['PUB']}) > 0) <> ((rl & {FT.BIT['PUB']}) > 0))::INT AS lg_pub_flip, {_minus('rw', 'lw')} AS w_extra, {_minus('lw', 'rw')} AS w_miss, (lw = rw)::INT AS w_same,
+  {_minus('rn', 'ln_')} AS nz_extra, both_::INT AS hn_both, (both_ AND off_ = 0)::INT AS hn_eq, mag::INT AS hn_diff_mag, CASE WHEN both_ THEN mag - lhl ELSE 0 END::INT AS hn_diff_lead, (lhl = rhl)::INT AS hn_len_eq
+  FROM g LEFT JOIN nl x ON x.core = lc AND x.legal = ll LEFT JOIN nl y ON y.core = rc AND y.legal = rl""")
 def profile_features(spark: SparkSession, d: str) -> DataFrame:
     index, pairs = _scored(spark, d)
     return FT.profile_features(pairs, FT.profiles(index.queries), FT.profiles(index.pool))
@@ -300,18 +334,10 @@ def train_predict(spark: SparkSession, d: str) -> DataFrame:
     return MD.cross_calibrate(scored).select("q", "r", "y", "fold", "p", "p_cal")
 
 
-@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
-  p AS (SELECT a.vec_id AS q, b.vec_id AS r, round(2 + list_cosine_similarity(a.v, b.v), 6) AS s FROM e a JOIN e b ON a.vec_id % 10 = 0 AND b.vec_id % 10 <> 0)
-  SELECT q, r, round(s - 2, 6) AS score FROM p QUALIFY row_number() OVER (PARTITION BY q ORDER BY s DESC, r) <= 10""")
-def dense_topk(spark: SparkSession, d: str) -> DataFrame:
-    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    return R.dense_topk(e.where("id % 10 = 0"), e.where("id % 10 <> 0"), 10)
-
-
 @query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
   p AS (SELECT a.vec_id AS q, b.vec_id AS r, round(2 + list_cosine_similarity(a.v, b.v), 6) AS s FROM e a JOIN e b ON a.vec_id % 20 = 0)
   SELECT q, r, round(s - 2, 6) AS score FROM p QUALIFY row_number() OVER (PARTITION BY q ORDER BY s DESC, r) <= 10""")
-def dense_search(spark: SparkSession, d: str) -> DataFrame:
+def dense_topk(spark: SparkSession, d: str) -> DataFrame:
     """Every id divisible by 20 against all rows, itself among them."""
     e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     return R.dense_topk(e.where("id % 20 = 0"), e, 10)
@@ -338,58 +364,78 @@ def id_leakage(spark: SparkSession, d: str) -> DataFrame:
 def _missed(spark: SparkSession, d: str) -> DataFrame:
     """True pairs with bucket features; missed where the base channel does not have them."""
     index = E.index(spark, d)
-    true = E.truth(spark, d).join(index.pair_scores(2500), ["q", "r"], "left").withColumn("comb", F.coalesce(F.col("name_cos") + F.col("addr_cos"), F.lit(0.0)))
+    true = R.pair_cos(index, E.truth(spark, d), 2500).withColumn("comb", F.col("name_cos") + F.col("addr_cos"))
     found = R.base(index, k_comb=3, k_name=1).select("q", "r", F.lit(False).alias("missed"))
     return DG.pair_table(true.select("q", "r", "comb").join(found, ["q", "r"], "left").fillna(True, ["missed"]), index.queries, index.pool)
 
 
-@query()
+@query(f"{S.pairs()}, {S.TRUTH}, {S.MISSED} {S.modes(DG.MODES)}")
 def failure_modes(spark: SparkSession, d: str) -> DataFrame:
     return DG.mode_by_country(DG.assign_modes(_missed(spark, d).where("missed")))
 
 
-@query()
+@query(f"{S.pairs()}, {S.TRUTH}, {S.MISSED} {S.flags(DG.FLAGS)}")
 def flag_table(spark: SparkSession, d: str) -> DataFrame:
     return DG.flag_table(_missed(spark, d))
 
 
-@query()
+@query(f"""WITH {S.PREPARED}, {S.TRUTH},
+  sizes AS (SELECT q, count(*) AS n, max(regexp_matches(business_name, '[\u0900-\u0D7F]')::INT) AS nat FROM truth JOIN full_ ON r = id GROUP BY q),
+  own AS (SELECT id, coalesce(n, 0) AS n, coalesce(nat, 0) AS nat, count(*) OVER (PARTITION BY ac) >= 2 AND len(ac) > 0 AS shared FROM full_ LEFT JOIN sizes ON id = q WHERE is_ref)
+  SELECT slice, count(*) AS records FROM (SELECT unnest([CASE WHEN n = 0 THEN 'singleton' END, CASE WHEN nat = 1 THEN 'true_native' END, CASE WHEN n > 0 AND nat = 0 THEN 'true_latin_only' END,
+    CASE WHEN n = 1 THEN 'true_size_1' END, CASE WHEN n BETWEEN 2 AND 4 THEN 'true_size_2_4' END, CASE WHEN n >= 5 THEN 'true_size_5p' END,
+    CASE WHEN shared THEN 's1_addr_shared' END, CASE WHEN NOT shared THEN 's1_addr_unique' END]) AS slice FROM own) WHERE slice IS NOT NULL GROUP BY slice""")
 def eval_slices(spark: SparkSession, d: str) -> DataFrame:
     index = E.index(spark, d)
     return DG.slices(index.queries, index.pool, E.truth(spark, d)).groupBy("slice").agg(F.count(F.lit(1)).alias("records"))
 
 
-@query()
+@query(f"""{S.pairs()}, {S.base()}, {S.conj_pairs()}, {S.bm25_pairs()}, {S.RESCUE}, {S.TRUTH},
+  ch AS (SELECT 'base' AS channel, q, r FROM base UNION ALL SELECT 'conj', q, r FROM ({S.top(20, 'c', 'cprs')}) UNION ALL SELECT 'bm25', q, r FROM ({S.top(20, 'c', 'bprs')})
+    UNION ALL SELECT 'rescue', q, r FROM resc UNION ALL SELECT 'addr_only', q, r FROM ({S.top(20, 'addr_cos')}))
+  SELECT channel, count(*) AS pairs, count(t.q) AS hits, count_if(b.q IS NULL)::BIGINT AS new_pairs, count(CASE WHEN b.q IS NULL THEN t.q END) AS new_hits
+  FROM ch LEFT JOIN base b ON b.q = ch.q AND b.r = ch.r LEFT JOIN truth t ON t.q = ch.q AND t.r = ch.r GROUP BY channel""")
 def channel_gain(spark: SparkSession, d: str) -> DataFrame:
     index = E.index(spark, d)
     lists = {"base": R.base(index), "conj": R.conj(index, 20), "bm25": R.bm25(index, 20), "rescue": R.rescue(index), "addr_only": R.addr_only(index)}
     return M.channel_gain(lists, E.truth(spark, d))
 
 
-@query()
+@query(f"""{_S}, {_WON}, z AS (SELECT won.*, country, ln(least(greatest(p, 1e-6), 1 - 1e-6) / least(greatest(1 - p, 1e-6), 1.0)) AS z FROM won JOIN refs USING (q)),
+  o AS (SELECT *, row_number() OVER (PARTITION BY country ORDER BY z DESC) AS k FROM z), n AS (SELECT country, count(*) AS n FROM refs GROUP BY country)
+  SELECT country, round(0 - z, 6) AS delta FROM o JOIN n USING (country) WHERE k = greatest(1, round(n * 0.3))""")
 def count_match(spark: SparkSession, d: str) -> DataFrame:
     index, pairs = _scored(spark, d)
     return SEL.count_match(pairs, _refs(index), 0.5, 0.3)
 
 
-@query()
+@query(f"""{_S}, {_WON}, l AS (SELECT refs.q, list(won.r) FILTER (won.r IS NOT NULL) AS ids FROM refs LEFT JOIN won ON won.q = refs.q AND p >= 0.5 GROUP BY refs.q),
+  x AS (SELECT q, unnest(ids) AS r FROM l)
+  SELECT 'repeated reference' AS "check", (SELECT count(*) FROM (SELECT q FROM l GROUP BY q HAVING count(*) > 1)) AS violations
+  UNION ALL SELECT 'missing reference', (SELECT count(*) FROM refs ANTI JOIN l USING (q)) UNION ALL SELECT 'unknown reference', (SELECT count(*) FROM l ANTI JOIN refs USING (q))
+  UNION ALL SELECT 'repeated id', (SELECT count(*) FROM l WHERE len(ids) <> len(list_distinct(ids)))
+  UNION ALL SELECT 'unknown id', (SELECT count(*) FROM x ANTI JOIN (SELECT id AS r FROM ent WHERE NOT is_ref) USING (r))""")
 def contract_checks(spark: SparkSession, d: str) -> DataFrame:
     index = E.index(spark, d)
     return T.contract_checks(link_records(spark, d), _refs(index), index.pool)
 
 
-@query()
+@query(f"""{S.pairs()}, {S.TRUTH}, c AS (SELECT q, r, name_cos + addr_cos AS comb FROM prs), m AS (SELECT t.q, t.r, coalesce(comb, 0) AS mine FROM truth t LEFT JOIN c USING (q, r))
+  SELECT m.q, m.r, CASE WHEN any_value(mine) > 0 THEN count(c.q) + 1 ELSE 0 END AS comb_rank FROM m LEFT JOIN c ON c.q = m.q AND c.comb > mine + 1e-6 GROUP BY m.q, m.r""")
 def true_rank(spark: SparkSession, d: str) -> DataFrame:
     return R.true_rank(E.index(spark, d), E.truth(spark, d))
 
 
-@query()
+@query(f"{_S}, {S.conj_pairs()} SELECT b.q, b.r, round(coalesce(c, 0), 6) AS conj_cos FROM base b LEFT JOIN cprs USING (q, r)")
 def pair_conj_cos(spark: SparkSession, d: str) -> DataFrame:
     index, pairs = _scored(spark, d)
     return R.pair_conj_cos(index, pairs.select("q", "r"))
 
 
-@query()
+@query(f"""{_S}, {S.CRC}, g AS (SELECT id, unnest(list_transform(range(1, greatest(length(business_name), 1) + 1), lambda i: substr(' ' || lower(business_name) || ' ', i::INT, 3))) AS gram FROM full_),
+  h AS (SELECT id, {S.crc32('gram')} % 64 AS bin, count(*) AS n FROM g, crc GROUP BY ALL), u AS (SELECT *, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS w FROM h),
+  c AS (SELECT b.q, b.r, sum(x.w * y.w) AS cos FROM base b JOIN u x ON x.id = b.q JOIN u y ON y.id = b.r AND x.bin = y.bin GROUP BY ALL)
+  SELECT q, r, round(coalesce(cos, 0), 6) AS dense_cos FROM base LEFT JOIN c USING (q, r)""")
 def trigram_cos(spark: SparkSession, d: str) -> DataFrame:
     index, pairs = _scored(spark, d)
     vectors = R.trigram_vectors(index.queries.select("id", "business_name").union(index.pool.select("id", "business_name")), F.col("business_name"))

@@ -121,3 +121,76 @@ resc AS (SELECT DISTINCT a.id AS q, b.id AS r, 1.0::DOUBLE AS score FROM rk a JO
 
 TRUTH = "truth AS (SELECT leader AS q, id AS r FROM ent WHERE NOT is_ref AND leader % 4 <> 0)"
 SCORED = f"{base()}, scored AS (SELECT b.q, b.r, name_cos, addr_cos, round(0.6 * name_cos + 0.4 * addr_cos, 6) AS p FROM base b JOIN prs USING (q, r))"
+
+
+# ---- pieces of the feature and diagnostic queries --------------------------------------------------------------------
+
+
+def jaccard(x: str, y: str) -> str:
+    """Share of common distinct items of two lists; 0 if either is empty."""
+    both, either = f"len(list_intersect(list_distinct({x}), list_distinct({y})))", f"len(list_distinct(list_concat({x}, {y})))"
+    return f"CASE WHEN len({x}) > 0 AND len({y}) > 0 THEN round({both} / {either}, 6) ELSE 0 END"
+
+
+def _crc_table() -> str:
+    """The 256 remainders of the reflected polynomial EDB88320."""
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        out.append(str(n))
+    return f"[{', '.join(out)}]"
+
+
+def crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, byte by byte; needs the table ``crc`` with its column t."""
+    each = f"list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {each}), lambda c, b: xor(crc.t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295::BIGINT)"
+
+
+CRC = f"crc AS (SELECT {_crc_table()}::BIGINT[] AS t)"
+
+
+def _bits(items: str, table: dict[str, int]) -> str:
+    keys, values = ", ".join(f"'{k}'" for k in table), ", ".join(map(str, table.values()))
+    return f"coalesce(list_bit_or(list_transform({items}, lambda x: coalesce(map_extract(map([{keys}], [{values}]::BIGINT[]), x)[1], 0))), 0)"
+
+
+def profiles(legal: dict[str, int], noise: dict[str, int], sounds: dict[str, int]) -> str:
+    """pro: legal, noise, wsig, hnum, hlen of every record."""
+    return f"""{CRC},
+p0 AS (SELECT *, list_filter(nc, lambda x: x NOT IN {_list(legal)}) AS plain FROM full_),
+p1 AS (SELECT *, list_filter(plain, lambda x: x NOT IN {_list(noise)}) AS other FROM p0),
+p2 AS (SELECT *, list_transform(list_filter(other, lambda x: length(x) >= 5), lambda x: {_skeleton('x')}) AS far,
+         list_filter(list_transform(list_filter(other, lambda x: length(x) < 5 OR {_skeleton('x')} NOT IN {_list(sounds)}), lambda x: {_skeleton('x')}), lambda x: x <> '') AS marks,
+         coalesce(regexp_extract(nu[1], '^([0-9]+)', 1), '') AS digits FROM p1),
+pm AS (SELECT id, bit_or((1::HUGEINT << ({crc32('mark')} & 63)::INT)) AS wsig FROM (SELECT id, unnest(marks) AS mark FROM p2), crc GROUP BY id),
+pro AS (SELECT p2.id, country, is_ref, core, {_bits('nc', legal)} | {_bits('far', sounds)} AS legal, {_bits('plain', noise)} AS noise, coalesce(wsig, 0::HUGEINT) AS wsig,
+         CASE WHEN digits <> '' THEN substr(digits, 1, 15)::BIGINT ELSE -1 END AS hnum, length(digits) AS hlen FROM p2 LEFT JOIN pm ON pm.id = p2.id)"""
+
+
+#: Bucket features of true pairs; ``missed`` where the first 3 by both and the first by name lack the pair.
+MISSED = f"""few AS (SELECT q, r FROM ({top(3, 'name_cos + addr_cos')}) UNION SELECT q, r FROM ({top(1, 'name_cos')})),
+freq AS (SELECT country, core, count(*) AS n FROM full_ WHERE NOT is_ref GROUP BY country, core),
+pt0 AS (SELECT t.q, t.r, coalesce(name_cos + addr_cos, 0) AS comb, few.q IS NULL AS missed, a.country, a.core AS lcore, b.core AS rcore, a.sk AS lsk, b.sk AS rsk,
+    a.ac AS lac, b.ac AS rac, a.nu AS lnu, b.nu AS rnu, a.compact AS lcompact, b.compact AS rcompact, b.addr_empty AS r_addr_empty,
+    regexp_matches(b.business_name, '[\u0900-\u0D7F]') AS r_native, regexp_matches(b.business_name, 'formerly|fka|aka|dba|trading as|doing business as') AS r_alias_or_web,
+    regexp_extract_all(a.business_address, '\\b([0-9]{{5,6}})\\b', 1) AS lpost, regexp_extract_all(b.business_address, '\\b([0-9]{{5,6}})\\b', 1) AS rpost,
+    a.business_address AS laddr, b.business_address AS raddr, coalesce(n, 0) AS s1_name_freq
+  FROM truth t JOIN full_ a ON t.q = a.id JOIN full_ b ON t.r = b.id LEFT JOIN prs ON prs.q = t.q AND prs.r = t.r LEFT JOIN few ON few.q = t.q AND few.r = t.r
+  LEFT JOIN freq ON freq.country = a.country AND freq.core = a.core),
+pt AS (SELECT *, 'S2' AS source, {jaccard('lcore', 'rcore')} AS name_tok_jac, {jaccard('lsk', 'rsk')} AS name_skel_jac, {jaccard('lac', 'rac')} AS addr_tok_jac,
+    {jaccard('lnu', 'rnu')} AS num_jac, lcompact = rcompact AS name_compact_eq, len(lnu) > 0 AS s1_has_num, len(rnu) > 0 AS r_has_num, len(lpost) > 0 AND len(rpost) > 0 AS postcode_both,
+    len(list_intersect(lpost, rpost)) > 0 AS postcode_eq, laddr = raddr AS last_comp_eq, len(lcore) AS s1_name_tokens, length(array_to_string(lcore, ' ')) AS s1_name_chars,
+    len(rac) AS r_addr_tokens FROM pt0)"""
+
+
+def modes(rules: list[tuple[str, str]]) -> str:
+    cases = " ".join(f"WHEN {rule} THEN '{name}'" for name, rule in rules)
+    return f"SELECT mode, country, count(*) AS pairs FROM (SELECT country, CASE {cases} ELSE 'other' END AS mode FROM pt WHERE missed) GROUP BY mode, country"
+
+
+def flags(rules: dict[str, str]) -> str:
+    share = lambda rule, side: f"round(coalesce(avg(({rule})::INT::DOUBLE) FILTER ({side}), 0), 6)"
+    rows = " UNION ALL ".join(f"SELECT '{name}' AS flag, {share(rule, 'missed')} AS share_of_misses, {share(rule, 'NOT missed')} AS share_of_hits FROM pt" for name, rule in rules.items())
+    return f"SELECT *, round(share_of_misses / nullif(share_of_hits, 0), 6) AS lift FROM ({rows})"

@@ -5,13 +5,13 @@ import random
 from kinweave.plans import queries as linkage
 
 
-def test_dense_search_returns_rows_whose_id_ends_in_zero(spark, tmp_path):
+def test_dense_topk_returns_rows_whose_id_ends_in_zero(spark, tmp_path):
     rnd = random.Random(3)
     rows = [(k, [rnd.gauss(0, 1) for _ in range(8)]) for k in range(60)]
     rows[30] = (30, [x + 1e-4 for x in rows[20][1]])  # the nearest neighbour of query 20
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {}
-    for r in linkage.QUERIES["dense_search"](spark, str(tmp_path)).orderBy("q", "score", ascending=[True, False]).collect():
+    for r in linkage.QUERIES["dense_topk"](spark, str(tmp_path)).orderBy("q", "score", ascending=[True, False]).collect():
         got.setdefault(r.q, []).append(r.r)
     assert sorted(got) == [0, 20, 40] and all(len(v) == 10 for v in got.values())
     assert set(got[20][:2]) == {20, 30}
