@@ -15,6 +15,7 @@ without labels of both kinds every score is 0; an empty table gives no rows; oth
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -42,6 +43,10 @@ class Bounds:
     rounds: int = 4
     steps: int = 90  # updates a round
     least_documents: int = 3  # that an input must be in; rarer ones would only let the network learn texts by heart
+    any_windows: int = 6  # windows of a text that the first round learns from, at random
+    best_windows: int = 2  # windows of a text that later rounds learn from, the highest
+    clean_windows: int = 12  # the highest windows of a clean text of which
+    clean_share: float = 0.1  # this share is learnt from too
     seed: int = 5
 
 
@@ -288,7 +293,8 @@ def fit(texts: list[str], labels: np.ndarray, prior: float, bounds: Bounds) -> N
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order)) - np.searchsorted(text[order], text[order])
         # at first any windows stand for a text, then its highest; clean texts also show some others
-        take = learn[text] & ((rank < (6 if phase == 0 else 2)) | (labels[text] == 0) & (rng.random(len(text)) < 0.1) & (rank < 12))
+        some_clean = (labels[text] == 0) & (rng.random(len(text)) < bounds.clean_share) & (rank < bounds.clean_windows)
+        take = learn[text] & ((rank < (bounds.best_windows if phase else bounds.any_windows)) | some_clean)
         chosen = np.flatnonzero(take)
         ones, zeros = chosen[labels[text[chosen]] == 1], chosen[labels[text[chosen]] == 0]
         if not len(ones) or not len(zeros):
@@ -373,7 +379,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, bounds: Bounds | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Network:
-    """A network from labelled documents outside the held-out part; the driver gets the bounded sample only."""
+    """A network from a bounded sample of labelled documents outside the held-out part."""
     bounds = bounds or Bounds()
     marks = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("y"))
     marks = marks.where("doc_id is not null and y is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -382,9 +388,16 @@ def train(docs: DataFrame, labels: DataFrame, bounds: Bounds | None = None, id_c
         return Network.new(bounds.seed)
     order = F.md5(F.concat(F.lit(f"{bounds.seed}:"), F.col("doc_id").cast("string")))
     picked = marks.where("y = 1").orderBy(order).limit(bounds.toxic).union(marks.where("y = 0").orderBy(order).limit(bounds.clean))
-    sample = narrow(docs, id_col, text_col).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y").toPandas()
-    sample = sample.sort_values(["doc_id", "text"], ignore_index=True, na_position="first")
-    return fit([t or "" for t in sample["text"]], sample["y"].to_numpy(), totals[1] / (totals[0] + totals[1]), bounds)
+    sample = narrow(docs, id_col, text_col).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y")
+    prior = totals[1] / (totals[0] + totals[1])
+
+    def learn(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([pd.DataFrame({"doc_id": [], "text": [], "y": []}), *parts])
+        rows = rows.sort_values(["doc_id", "text"], ignore_index=True, na_position="first")
+        yield pd.DataFrame({"network": [pickle.dumps(fit([t or "" for t in rows["text"]], rows["y"].to_numpy(np.float32), prior, bounds))]})
+
+    # one task of the cluster learns from the sample; the driver gets the weights only
+    return pickle.loads(sample.repartition(1).mapInPandas(learn, "network binary").collect()[0][0])
 
 
 def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -393,7 +406,7 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 3 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             words = read_words(*utf8(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(words), pa.float64())], ["doc_id", "score"])
 
@@ -407,7 +420,7 @@ def keep_clean(docs: DataFrame, network: Network, id_col: str = "doc_id", text_c
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col, 3 << 20):
+        for batch in slices(batches, text_col, 1 << 20):
             words = read_words(*utf8(batch.column(batch.schema.get_field_index(text_col))))
             yield batch.filter(pa.array(shared.value.scores(words) < threshold))
 
