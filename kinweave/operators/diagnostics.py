@@ -94,6 +94,23 @@ def presence_table(found: DataFrame, rank: str = "rank") -> DataFrame:
     return out.withColumn("country", F.coalesce("country", F.lit("(all)")))
 
 
+def selection_stats(kept: DataFrame, refs: DataFrame) -> DataFrame:
+    """Per country: reference records, selected pairs, pairs a record, share of records without any."""
+    sizes = kept.groupBy("q").agg(F.count(F.lit(1)).alias("n"))
+    every = refs.join(sizes, "q", "left").fillna(0, ["n"])
+    return every.groupBy("country").agg(
+        F.count(F.lit(1)).alias("records"), F.sum("n").alias("pairs"), F.round(F.avg("n"), 6).alias("per_record"),
+        F.round(F.avg((C("n") == 0).cast("double")), 6).alias("share_without"),
+    )
+
+
+def rank_quantiles(ranks: DataFrame, refs: DataFrame, at: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
+    """Per country: quantiles of the rank that true pairs have among all pool records, and how many share no key (rank 0)."""
+    found = ranks.join(refs.select("q", "country"), "q")
+    cuts = [F.round(F.percentile(F.when(C("comb_rank") > 0, C("comb_rank")), q), 6).alias(f"rank_p{round(100 * q)}") for q in at]
+    return found.groupBy("country").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(C("comb_rank") == 0).alias("without_key"), *cuts)
+
+
 def slices(refs: DataFrame, pool: DataFrame, truth: DataFrame) -> DataFrame:
     """(q, slice): singletons, native or Latin matches, cluster sizes, shared or unique address."""
     native = pool.select(C("id").alias("r"), C("name_native").cast("int").alias("nat"))

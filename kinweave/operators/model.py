@@ -27,6 +27,8 @@ class Config:
     columns: str = "0.8"
     folds: int = 3
     seed: int = 42
+    valid: float = 0.0  # share of queries that say when to stop adding trees; 0 adds all
+    gain: float = 0.01  # relative gain on them that keeps training going
 
 
 def fold_of(q: Column, folds: int, seed: int = 42) -> Column:
@@ -51,9 +53,16 @@ def train(df: DataFrame, config: Config = Config(), weight: str | None = None) -
         labelCol="y", maxIter=config.trees, maxDepth=config.depth, stepSize=config.rate, maxBins=config.bins,
         minInstancesPerNode=config.least, subsamplingRate=config.rows, featureSubsetStrategy=config.columns, seed=config.seed,
     )
+    if config.valid:
+        df = df.withColumn("_valid", F.pmod(F.xxhash64("q", F.lit(config.seed + 2)), F.lit(1000)) < int(config.valid * 1000))
+        gbt = gbt.setValidationIndicatorCol("_valid").setValidationTol(config.gain)
     return (gbt.setWeightCol(weight) if weight else gbt).fit(df)
 
 
+def load(path: str) -> GBTClassificationModel:
+    return GBTClassificationModel.load(path)
+
+
 def predict(model: GBTClassificationModel, df: DataFrame, name: str = "p") -> DataFrame:
     out = model.transform(df).withColumn(name, F.round(vector_to_array("probability")[1], 6))
     return out.drop("rawPrediction", "probability", "prediction")
@@ -118,13 +127,15 @@ def blend(pairs: DataFrame, other: DataFrame, weight: float = 0.5) -> DataFrame:
 
 
 def country_holdout(df: DataFrame, features: list[str], config: Config = Config()) -> DataFrame:
-    """Each country scored by a model trained on the others."""
+    """Each country scored by a model trained on the others; countries whose others have one label only are left out."""
     rows = assemble(df, features)
     parts = []
     for (country,) in rows.select("country").distinct().orderBy("country").collect():
         rest = rows.where(F.col("country") != country)
         if rest.select("y").distinct().count() == 2:
             parts.append(predict(train(rest, config), rows.where(F.col("country") == country)))
+    if not parts:
+        return df.limit(0).withColumn("p", F.lit(None).cast("double"))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)

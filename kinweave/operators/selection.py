@@ -112,6 +112,26 @@ def count_match(pairs: DataFrame, refs: DataFrame, thr: float, target: float) ->
     return cut.select("country", F.round(F.lit(edge) - F.col("z"), 6).alias("delta"))
 
 
+def count_match_rule(pairs: DataFrame, refs: DataFrame, rule: Rule, target: float, steps: int = 22) -> DataFrame:
+    """(country, delta) for any rule: closed for a threshold, else by halving an interval of shifts for all countries at
+    once; the driver holds one interval a country."""
+    if rule.method == "threshold":
+        return count_match(pairs, refs, rule.thr, target)
+    spark = pairs.sparkSession
+    sizes = {r["country"]: r["count"] for r in refs.groupBy("country").count().collect()}
+    own = pairs.join(refs.select("q", "country"), "q").persist()
+    span = {c: (-8.0, 8.0) for c in sizes}
+    for _ in range(steps):
+        middle = spark.createDataFrame([(c, (lo + hi) / 2) for c, (lo, hi) in span.items()], "country string, delta double")
+        moved = own.join(F.broadcast(middle), "country").withColumn("p", shift_logit(F.col("p"), F.col("delta")))
+        kept = {r["country"]: r["count"] for r in select(moved, rule).groupBy("country").count().collect()}
+        for c, (lo, hi) in span.items():
+            half = (lo + hi) / 2
+            span[c] = (lo, half) if kept.get(c, 0) > sizes[c] * target else (half, hi)
+    own.unpersist()
+    return spark.createDataFrame([(c, (lo + hi) / 2) for c, (lo, hi) in span.items()], "country string, delta double")
+
+
 def clone_decoys(pairs: DataFrame, truth: DataFrame, weight: float, seed: int = 42) -> DataFrame:
     """Repeats the pairs of pool records that nobody owns, weight - 1 times more (a fraction by hash), as new records."""
     whole = int(weight - 1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import diagnostics as DG
@@ -426,6 +427,54 @@ def true_rank(spark: SparkSession, d: str) -> DataFrame:
     return R.true_rank(E.index(spark, d), E.truth(spark, d))
 
 
+_RANKS = f"""{_S}, c AS (SELECT q, r, name_cos + addr_cos AS comb FROM prs), m AS (SELECT t.q, t.r, coalesce(comb, 0) AS mine FROM truth t LEFT JOIN c USING (q, r)),
+  tr AS (SELECT m.q, m.r, CASE WHEN any_value(mine) > 0 THEN count(c.q) + 1 ELSE 0 END AS comb_rank FROM m LEFT JOIN c ON c.q = m.q AND c.comb > mine + 1e-6 GROUP BY m.q, m.r)"""
+
+
+@query(f"""{_RANKS} SELECT country, count(*) AS pairs, count_if(comb_rank = 0)::BIGINT AS without_key,
+  {', '.join(f'round(quantile_cont(comb_rank, {x}) FILTER (comb_rank > 0), 6) AS rank_p{round(100 * x)}' for x in (0.5, 0.9, 0.99))} FROM tr JOIN refs USING (q) GROUP BY country""")
+def rank_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    index = E.index(spark, d)
+    return DG.rank_quantiles(R.true_rank(index, E.truth(spark, d)), _refs(index))
+
+
+@query(f"""{_S}, rk AS (SELECT q, r, row_number() OVER (PARTITION BY q ORDER BY round(name_cos + addr_cos, 6) DESC, r) AS rank FROM scored),
+  f AS (SELECT country, CASE WHEN rank IS NULL THEN 'absent' WHEN rank <= 1 THEN '1' WHEN rank <= 5 THEN '2-5' WHEN rank <= 10 THEN '6-10' WHEN rank <= 30 THEN '11-30' ELSE '31+' END AS bucket
+    FROM truth JOIN refs USING (q) LEFT JOIN rk USING (q, r))
+  SELECT coalesce(country, '(all)') AS country, bucket, count(*) AS pairs FROM f GROUP BY GROUPING SETS ((country, bucket), (bucket))""")
+def presence(spark: SparkSession, d: str) -> DataFrame:
+    """Where true pairs stand among the base candidates."""
+    index, pairs = _scored(spark, d)
+    place = F.row_number().over(W.partitionBy("q").orderBy(F.desc(F.round(F.col("name_cos") + F.col("addr_cos"), 6)), "r"))
+    found = E.truth(spark, d).join(_refs(index), "q").join(pairs.select("q", "r", place.alias("rank")), ["q", "r"], "left")
+    return DG.presence_table(found)
+
+
+@query(f"""{_S}, {_WON}, n AS (SELECT refs.q, country, count(won.r) AS n FROM refs LEFT JOIN won ON won.q = refs.q AND p >= 0.5 GROUP BY ALL)
+  SELECT country, count(*) AS records, sum(n)::BIGINT AS pairs, round(avg(n), 6) AS per_record, round(avg((n = 0)::INT::DOUBLE), 6) AS share_without FROM n GROUP BY country""")
+def selection_stats(spark: SparkSession, d: str) -> DataFrame:
+    index, pairs = _scored(spark, d)
+    return DG.selection_stats(SEL.select(pairs, SEL.Rule(thr=0.5)), _refs(index))
+
+
+@query()
+def fit_predict(spark: SparkSession, d: str) -> DataFrame:
+    """Learns on the training part of the reference records and selects matches for the rest; small trees, to show the path."""
+    from . import run
+
+    queries, pool = E.sides(spark, d)
+    part = MD.holdout_split(F.col("id"))
+    small = MD.Config(trees=4, depth=3, folds=2)
+    options = run.Options(channels="base,conj:10,rescue", stage1=small, stage2=small, text_features=False)
+    work = T.work_folder(spark, "fit_predict")
+    ours = queries.where(part == "train")
+    owners = E.truth(spark, d)
+    _, _, said = run.learn(R.Index(ours, pool), owners.join(ours.select(F.col("id").alias("q")), "q", "left_semi"), work, options)
+    other = R.Index(queries.where(part != "train"), pool)
+    scored, rule = run.predict(other, work, said["key"], options)
+    return SEL.select(scored, rule).select("q", "r", "p")
+
+
 @query(f"{_S}, {S.conj_pairs()} SELECT b.q, b.r, round(coalesce(c, 0), 6) AS conj_cos FROM base b LEFT JOIN cprs USING (q, r)")
 def pair_conj_cos(spark: SparkSession, d: str) -> DataFrame:
     index, pairs = _scored(spark, d)

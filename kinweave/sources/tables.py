@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -50,6 +51,12 @@ def cached(df_or_make, path: str, spark: SparkSession) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a run's stages: under ``spark.checkpoint.dir``, else beside the warehouse; both are shared."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_kinweave_scratch"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def id_lists(refs: DataFrame, pairs: DataFrame, order: str = "rank", header: tuple[str, str] = ("source1_entity_id", "matched_entity_ids")) -> DataFrame:
     """One row per reference record: its pool ids, comma-joined in order, each once; empty without any."""
     first = pairs.groupBy("q", "r").agg(F.min(order).alias("_o"))
@@ -58,9 +65,16 @@ def id_lists(refs: DataFrame, pairs: DataFrame, order: str = "rank", header: tup
 
 
 def write_id_lists(lists: DataFrame, path: str, order: str) -> None:
-    """A tab-separated text sink with header, in the order of a column of the lists."""
+    """A tab-separated text sink in the order of a column of the lists; the header is the first line of the first part."""
     a, b = [c for c in lists.columns if c != order][:2]
-    lists.orderBy(order).select(a, b).write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").option("emptyValue", "").csv(path)
+    rows = lists.select(F.lit(1).alias("_k"), F.col(order).alias("_o"), F.concat_ws("\t", F.col(a).cast("string"), F.col(b)).alias("value"))
+    head = lists.sparkSession.range(1).select(F.lit(0).alias("_k"), F.lit(None).cast(dict(lists.dtypes)[order]).alias("_o"), F.lit(f"{a}\t{b}").alias("value"))
+    head.unionByName(rows).orderBy("_k", "_o").select("value").write.mode("overwrite").text(path)
+
+
+def fingerprint(df: DataFrame) -> tuple:
+    """Number of rows and a sum over their hashes, whatever their order."""
+    return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)"))).first())
 
 
 def contract_checks(lists: DataFrame, refs: DataFrame, pool: DataFrame) -> DataFrame:
@@ -91,10 +105,13 @@ def subset(refs: DataFrame, pool: DataFrame, truth: DataFrame, fraction: float,
     return ours, pool.join(mine, "id", "left_semi").unionByName(lone)
 
 
-def write_metrics(metrics: dict, path: str) -> None:
-    """Metrics of a run as JSON; small, from the driver."""
-    with open(path, "w", encoding="utf-8") as out:
-        json.dump(metrics, out, indent=1, sort_keys=True)
+def write_metrics(spark: SparkSession, metrics: dict, path: str) -> None:
+    """Metrics of a run as one line of JSON, in a folder that the whole cluster sees."""
+    spark.createDataFrame([(json.dumps(metrics, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_metrics(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path).first()[0])
 
 
 def first_seen(pairs: DataFrame, order: str) -> DataFrame:

@@ -27,3 +27,25 @@ def test_two_stages_recover_planted_matches(spark, tmp_path):
     assert metrics["recall"] > 0.95 and max(metrics["stage1"], metrics["stage2"]) > 0.8
     lists = dict(map(tuple, run.id_lists(index, pairs, rule, options).collect()))
     assert len(lists) == 40 and sum(bool(v) for v in lists.values()) > 30
+    # the same run is read back, another one is not
+    again = run.learn(index, owners, str(tmp_path), options)
+    assert again[2] == metrics and run.run_key(options, index.queries, index.pool, owners.limit(5)) != metrics["key"]
+    # the models left behind score records that training never saw
+    fresh = spark.createDataFrame([(9000 + q, name, address, "US") for q, name, address, _ in refs[:12]], schema)
+    other = R.Index(prepare(fresh, ascii_only=True), index.pool)
+    scored, found = run.predict(other, str(tmp_path), metrics["key"], options)
+    assert found == rule
+    hits = {(r.q - 9000, r.r) for r in run.SEL.select(scored, found).collect()}
+    assert len(hits & set(truth)) >= 0.7 * len(hits) and len(hits & set(truth)) >= 12
+
+
+def test_counts_are_met_by_either_kind_of_rule(spark):
+    rnd = random.Random(3)
+    pairs = spark.createDataFrame([(k % 40, k, round(rnd.random(), 6)) for k in range(200)], "q int, r int, p double")
+    refs = spark.createDataFrame([(k, "X" if k < 20 else "Y") for k in range(40)], "q int, country string")
+    for rule in (run.SEL.Rule(thr=0.5), run.SEL.Rule("expf")):
+        kept = run.SEL.select(run.matched(pairs, refs, rule, run.Options(count_match=1.5)), rule).join(refs, "q").groupBy("country").count().collect()
+        assert all(abs(r["count"] - 30) <= 4 for r in kept) and len(kept) == 2, rule
+    some = run.matched(pairs, refs, run.SEL.Rule(), run.Options(count_match=1.5, count_scope="unseen", seen=("X",)))
+    same = some.join(pairs.withColumnRenamed("p", "was"), ["q", "r"]).join(refs, "q")
+    assert same.where("country = 'X' and p <> was").count() == 0 and same.where("country = 'Y' and p <> was").count() > 0
