@@ -48,6 +48,12 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver drop what it no longer refers to; executors then delete the shuffle files of finished jobs, which
+    loops of many small jobs would otherwise pile up until the driver happens to need memory."""
+    spark._jvm.System.gc()
+
+
 class Scratch:
     """Tables of one run of an operator, written to the shared folder.
 

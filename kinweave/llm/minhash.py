@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, grouped, join_hot, narrow, slices, small_batches, utf8
+from .common import Scratch, grouped, join_hot, narrow, release, slices, small_batches, utf8
 from .components import components
 from .words import LOWER, digest, hash_spans, mix, spans, windows
 
@@ -344,6 +344,7 @@ def _near_duplicates(rows: DataFrame, width: int, per_hundred: int) -> DataFrame
     done = alone.union(linked).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
     done = scratch.save(done, "done")
     scratch.drop("signed", "classes", "buckets", "members", "sigs", "sets", "of_class")
+    release(rows.sparkSession)
     return done
 
 

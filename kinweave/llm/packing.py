@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, narrow, slices, small_batches
+from .common import Scratch, narrow, release, slices, small_batches
 from .tokens import tokens
 
 #: Documents and gaps that one task sweeps.
@@ -165,7 +165,10 @@ class _Packer:
         taken = matches.groupBy("sequence").agg(F.array_sort(F.collect_list(F.struct("row", "length"))).alias("own"))
         state = gaps.join(taken, "sequence", "left").withColumn("own", F.coalesce("own", F.array().cast("array<struct<row:bigint,length:bigint>>")))
         used = F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + x["length"])
-        state = scratch.save(state.select("sequence", (F.col("free") - used).alias("free"), F.col("free").alias("before"), "own"), f"state{k}")
+        files = max(self.spark.sparkContext.defaultParallelism, -(-self.opened // SWEEP_ROWS))
+        state = scratch.save(state.select("sequence", (F.col("free") - used).alias("free"), F.col("free").alias("before"), "own").coalesce(files), f"state{k}")
+        if k % 4 == 3:
+            release(self.spark)
         self.gaps = state.where("free > 0").select("sequence", "free")
         self.places.append(state.where(F.size("own") > 0).select("sequence", "before", "own"))
         if k:
