@@ -39,10 +39,13 @@ def rank_gap(pairs: DataFrame, score: str, group: str, name: str, side: str) ->
 def context(pairs: DataFrame) -> DataFrame:
     """Competition by name + address (and by rrf where there is one) on both sides, over all pairs."""
     out = pairs.withColumn("comb", F.round(F.col("name_cos") + F.col("addr_cos"), 6))
-    for score in ("comb", *(["rrf"] if "rrf" in pairs.columns else [])):
-        for side, group in (("s1", "q"), ("r", "r")):
+    scores = ["comb", *(["rrf"] if "rrf" in pairs.columns else [])]
+    for side, group in (("s1", "q"), ("r", "r")):  # one exchange a side
+        for score in scores:
             out = rank_gap(out, score, group, score, side)
-    return out.withColumns({"n_cand_s1": F.count(F.lit(1)).over(W.partitionBy("q")), "n_cand_r": F.count(F.lit(1)).over(W.partitionBy("r"))})
+        out = out.withColumn(f"n_cand_{side}", F.count(F.lit(1)).over(W.partitionBy(group)))
+    ranks = [f"{score}_{what}_{side}" for score in scores for side in ("s1", "r") for what in ("rank", "gap")]
+    return out.select(*pairs.columns, "comb", *ranks, "n_cand_s1", "n_cand_r")
 
 
 def context2(pairs: DataFrame, most: int = 2048) -> DataFrame:
