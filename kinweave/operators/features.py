@@ -135,12 +135,12 @@ def _count_of(records: DataFrame, keys: list[str], name: str) -> DataFrame:
 
 def crowd_features(pairs: DataFrame, queries: DataFrame, pool: DataFrame) -> DataFrame:
     """Adds l_addr_dup and r_addr_dup (reference records with exactly that address; 0 for an empty one) and a_exact."""
-    crowd = _count_of(queries.where("addr_clean <> ''"), ["addr_clean"], "n")
-    sided = with_sides(pairs, queries, pool, ["addr_clean"])
-    for side in "lr":
-        sided = sided.join(crowd.select(F.col("addr_clean").alias(f"{side}_addr_clean"), F.col("n").alias(f"{side}_addr_dup")), f"{side}_addr_clean", "left")
-    exact = (F.col("l_addr_clean") == F.col("r_addr_clean")) & (F.col("l_addr_clean") != "")
-    return sided.withColumn("a_exact", exact.cast("int")).fillna(0, ["l_addr_dup", "r_addr_dup"]).drop("l_addr_clean", "r_addr_clean")
+    crowd = queries.where("addr_clean <> ''").groupBy("addr_clean").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+    out = pairs  # counts go to the records, numbers to the pairs
+    for side, key, records in (("l", "q", queries), ("r", "r", pool)):
+        known = records.select(F.col("id").alias(key), "addr_clean").join(crowd, "addr_clean", "left")
+        out = out.join(known.select(key, F.coalesce("n", F.lit(0)).alias(f"{side}_addr_dup"), F.col("least").alias(f"_{side}")), key)
+    return out.withColumn("a_exact", F.coalesce(F.col("_l") == F.col("_r"), F.lit(False)).cast("int")).drop("_l", "_r")
 
 
 def name_ambiguity(pairs: DataFrame, queries: DataFrame, pool: DataFrame) -> DataFrame:
