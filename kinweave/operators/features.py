@@ -147,11 +147,10 @@ def name_ambiguity(pairs: DataFrame, queries: DataFrame, pool: DataFrame) -> Dat
     """Adds l_name_s1dup, r_name_s1cnt, r_name_s23cnt: records with that core name on either side; 0 for an empty one."""
     ours = _count_of(queries.where("name_core <> ''"), ["name_core"], "n1")
     theirs = _count_of(pool.where("name_core <> ''"), ["name_core"], "n2")
-    sided = with_sides(pairs, queries, pool, ["name_core"])
-    sided = sided.join(ours.select(F.col("name_core").alias("l_name_core"), F.col("n1").alias("l_name_s1dup")), "l_name_core", "left")
-    sided = sided.join(ours.select(F.col("name_core").alias("r_name_core"), F.col("n1").alias("r_name_s1cnt")), "r_name_core", "left")
-    sided = sided.join(theirs.select(F.col("name_core").alias("r_name_core"), F.col("n2").alias("r_name_s23cnt")), "r_name_core", "left")
-    return sided.fillna(0, ["l_name_s1dup", "r_name_s1cnt", "r_name_s23cnt"]).drop("l_name_core", "r_name_core")
+    zero = lambda n, name: F.coalesce(n, F.lit(0)).alias(name)
+    left = queries.select(F.col("id").alias("q"), "name_core").join(ours, "name_core", "left").select("q", zero("n1", "l_name_s1dup"))
+    right = pool.select(F.col("id").alias("r"), "name_core").join(ours, "name_core", "left").join(theirs, "name_core", "left")
+    return pairs.join(left, "q").join(right.select("r", zero("n1", "r_name_s1cnt"), zero("n2", "r_name_s23cnt")), "r")
 
 
 def _mask(tokens: Column, bits: dict[str, int]) -> Column:
