@@ -201,17 +201,18 @@ def profiles(records: DataFrame) -> DataFrame:
 def profile_features(pairs: DataFrame, queries: DataFrame, pool: DataFrame) -> DataFrame:
     """The 18 profile columns of each pair; of records that went through ``profiles``."""
     ours = _count_of(queries, ["name_core", "legal"], "n")
-    sided = with_sides(pairs, queries, pool, ["name_core", "legal", "noise", "wsig", "hnum", "hlen"])
-    for side, name in (("l", "namelg_s1dup"), ("r", "namelg_r_s1cnt")):
-        named = ours.select(F.col("name_core").alias(f"{side}_name_core"), F.col("legal").alias(f"{side}_legal"), F.col("n").alias(name))
-        sided = sided.join(named, [f"{side}_name_core", f"{side}_legal"], "left")
+    columns, sided = ["legal", "noise", "wsig", "hnum", "hlen"], pairs
+    for side, key, name, records in (("l", "q", "namelg_s1dup", queries), ("r", "r", "namelg_r_s1cnt", pool)):
+        known = records.select("id", "name_core", *columns).join(ours, ["name_core", "legal"], "left")
+        known = known.select(F.col("id").alias(key), F.coalesce("n", F.lit(0)).alias(name), *[F.col(c).alias(f"{side}_{c}") for c in columns])
+        sided = sided.join(known, key)
     l, r = F.col("l_legal"), F.col("r_legal")  # noqa: E741
     minus = lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b)))
     main, pub = F.lit(BIT["PVT"] | BIT["LTD"]), F.lit(BIT["PUB"])
     both = (F.col("l_hnum") >= 0) & (F.col("r_hnum") >= 0)
     off = F.abs(F.col("l_hnum") - F.col("r_hnum"))
     magnitude = F.when(both & (off > 0), F.length(off.cast("string"))).otherwise(0)
-    out = sided.fillna(0, ["namelg_s1dup", "namelg_r_s1cnt"]).withColumns(
+    out = sided.withColumns(
         {
             "lg_l_n": F.bit_count(l), "lg_r_n": F.bit_count(r), "lg_add": minus(r, l), "lg_drop": minus(l, r),
             "lg_add_other": F.bit_count(r.bitwiseAND(F.bitwise_not(l)).bitwiseAND(F.bitwise_not(main))), "lg_same": (l == r).cast("int"),
@@ -222,7 +223,8 @@ def profile_features(pairs: DataFrame, queries: DataFrame, pool: DataFrame) -> D
             "hn_diff_lead": F.when(both, magnitude - F.col("l_hlen")).otherwise(0), "hn_len_eq": (F.col("l_hlen") == F.col("r_hlen")).cast("int"),
         }
     )
-    return out.drop(*[f"{s}_{c}" for s in "lr" for c in ("name_core", "legal", "noise", "wsig", "hnum", "hlen")])
+    added = [c for c in out.columns if c not in (*pairs.columns, "namelg_s1dup", "namelg_r_s1cnt") and c[2:] not in columns]
+    return out.select(*pairs.columns, "namelg_s1dup", "namelg_r_s1cnt", *added)
 
 
 def p_context(pairs: DataFrame, p: str = "p") -> DataFrame:
