@@ -251,7 +251,9 @@ def sibling_features(pairs: DataFrame, pool: DataFrame, top: int = 3, least: flo
     best = pairs.select("q", "r", "p", F.row_number().over(W.partitionBy("q").orderBy(F.desc("p"), "r")).alias("place")).where((F.col("place") <= top) & (F.col("p") >= least))
     own = pool.select(F.col("id").alias("r"), *[F.col(c).alias(f"x_{c}") for c in columns])
     sib = pool.select(F.col("id").alias("sib"), *[F.col(c).alias(f"y_{c}") for c in columns])
-    met = pairs.select("q", "r").join(best.select("q", F.col("r").alias("sib"), F.col("p").alias("sp"), "place"), "q").where("r <> sib").join(own, "r").join(sib, "sib")
+    sibs = best.select("q", F.col("r").alias("sib"), F.col("p").alias("sp"), "place").join(sib, "sib")
+    sibs = sibs.groupBy("q").agg(F.collect_list(F.struct(*[c for c in sibs.columns if c != "q"])).alias("_sibs"))
+    met = pairs.select("q", "r").join(own, "r").join(sibs, "q").withColumn("_sib", F.explode("_sibs")).select("q", "r", *[f"x_{c}" for c in columns], "_sib.*").where("r <> sib")
     hnum = lambda s: F.substring_index(f"{s}_addr_nums", " ", 1)
     met = met.withColumns(
         {
