@@ -280,10 +280,16 @@ def group_features(pairs: DataFrame, pool: DataFrame, groups: dict[str, str] | N
     """
     groups = groups or GROUPS
     records = pool.withColumn("hnum_text", F.substring_index("addr_nums", " ", 1)) if "addr_nums" in pool.columns else pool
-    out = pairs.join(records.select(F.col("id").alias("r"), *[F.col(c).cast("string").alias(f"_{k}") for k, c in groups.items()]), "r")
+    own = records.select("id", *[F.col(c).cast("string").alias(f"_{k}") for k, c in groups.items()])
+    known = own.select(F.col("id").alias("r"), *[f"_{k}" for k in groups])
+    for k in groups:  # a group goes by its least id, so pairs carry no texts
+        least = own.groupBy(F.col(f"_{k}").alias("_v")).agg(F.min("id").alias("_least"))
+        number = F.when(F.col(f"_{k}") == "", F.col("r")).otherwise(F.col("_least"))
+        known = known.join(least, F.col(f"_{k}").eqNullSafe(F.col("_v"))).withColumn(f"_{k}", number).drop("_v", "_least")
+    out = pairs.join(known, "r").repartition("q")  # one exchange for all windows
     total = F.sum("p").over(W.partitionBy("q"))
     for k in groups:
-        out = out.withColumn("_g", F.when(F.col(f"_{k}") == "", F.concat(F.lit("\x00"), F.col("r").cast("string"))).otherwise(F.col(f"_{k}")))
+        out = out.withColumn("_g", F.col(f"_{k}"))
         mass = F.sum("p").over(W.partitionBy("q", "_g"))
         out = out.withColumns({"_mass": mass, f"grp_{k}_n": F.count(F.lit(1)).over(W.partitionBy("q", "_g"))})
         out = out.withColumns(
