@@ -76,6 +76,16 @@ def average(parts: list[DataFrame], name: str = "p") -> DataFrame:
     return every.groupBy("q", "r").agg(F.round(F.avg(name), 6).alias(name))
 
 
+def mean_score(models: list[GBTClassificationModel], rows: DataFrame) -> DataFrame:
+    """(q, r, p): the mean score of several models, all in one pass over assembled pairs."""
+    for k, model in enumerate(models):
+        rows = predict(model, rows, f"_p{k}")
+    total = F.col("_p0")
+    for k in range(1, len(models)):
+        total = total + F.col(f"_p{k}")
+    return rows.select("q", "r", F.round(total / len(models), 6).alias("p"))
+
+
 def out_of_fold(df: DataFrame, features: list[str], config: Config = Config(), weight: str | None = None) -> tuple[DataFrame, list[GBTClassificationModel]]:
     """Scores of every pair by a model that never saw its query, and the models."""
     rows = assemble(df, features).withColumn("fold", fold_of(F.col("q"), config.folds, config.seed)).persist()

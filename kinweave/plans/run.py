@@ -123,16 +123,17 @@ def predict(index: R.Index, work: str, key: str, options: Options = Options()) -
     """Scores (q, r, p) of another split's candidates by the models of a learnt run, and the run's rule.
 
     A pair's score is the mean over the fold models; where the rule wants it, it is calibrated on all out-of-fold scores.
+    Candidates, columns and scores are written once each, as several steps read them.
     """
     spark, work = index.queries.sparkSession, f"{work}/{key}"
     said = T.read_metrics(spark, f"{work}/metrics")
-    cand = block(index, options).persist()
-    table, _ = pair_features(index, cand, options)
-    scored = _mean_score(table, said["names"], f"{work}/stage1_models", options.stage1.folds)
+    cand = index.home.save(block(index, options), "candidates")
+    table = index.home.save(pair_features(index, cand, options)[0], "features")
+    scored = index.home.save(_mean_score(table, said["names"], f"{work}/stage1_models", options.stage1.folds), "scored1")
     if said["stage"] == 2:
         kept = scored.where(F.col("p") >= said["prune_cut"]).join(cand, ["q", "r"])
-        deep, _ = MD.stack_features(kept, index.pool)
-        scored = _mean_score(deep.drop("p"), said["stack_names"], f"{work}/stage2_models", options.stage2.folds)
+        deep = index.home.save(MD.stack_features(kept, index.pool)[0], "stack")
+        scored = index.home.save(_mean_score(deep.drop("p"), said["stack_names"], f"{work}/stage2_models", options.stage2.folds), "scored2")
     if said["calibrated"]:
         model = MD.fit_calibrator(spark.read.parquet(f"{work}/stage{said['stage']}"))
         scored = MD.calibrate(model, scored).select("q", "r", F.col("p_cal").alias("p"))
@@ -140,8 +141,7 @@ def predict(index: R.Index, work: str, key: str, options: Options = Options()) -
 
 
 def _mean_score(table: DataFrame, names: list[str], path: str, folds: int) -> DataFrame:
-    rows = MD.assemble(table, names)
-    return MD.average([MD.predict(MD.load(f"{path}/{k}"), rows).select("q", "r", "p") for k in range(folds)])
+    return MD.mean_score([MD.load(f"{path}/{k}") for k in range(folds)], MD.assemble(table, names))
 
 
 def matched(pairs: DataFrame, refs: DataFrame, rule: SEL.Rule, options: Options) -> DataFrame:
