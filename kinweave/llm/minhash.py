@@ -38,6 +38,8 @@ BLOCK = 256
 STAR = 2048
 #: Rounds with one pivot a bucket before the grid.
 PIVOT_ROUNDS = 2
+#: Most bits of the map of wanted sets (32 MB).
+MAP_BITS = 1 << 28
 
 _rng = np.random.Generator(np.random.PCG64(20260202))
 _A = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -115,15 +117,38 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "mark", "text").mapInArrow(run, schema)
 
 
-def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(node, members): the whole shingle set as 8-byte numbers; of (node, text)."""
+def _bitmap(spots: DataFrame, n: int) -> np.ndarray:
+    """A map of about 16 bits a number for ``n`` numbers (spot), so one in 16 others passes it. It is put together by the
+    executors; beyond MAP_BITS more others pass, none is lost."""
+    bits = min(MAP_BITS, 64 << max(0, (16 * n // 64).bit_length()))
+    at = F.pmod("spot", F.lit(bits))
+    word = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))
+    found = spots.select(F.floor(at / 64).cast("long").alias("at"), word.alias("word")).groupBy("at").agg(F.bit_or("word").alias("word")).toPandas()
+    out = np.zeros(bits // 64, np.int64)
+    out[found["at"].to_numpy(np.int64)] = found["word"].to_numpy(np.int64)
+    return out
+
+
+def full_sets(docs: DataFrame, reps: DataFrame, n: int, width: int) -> DataFrame:
+    """(node, members): the whole shingle set as 8-byte numbers, of each of the ``n`` rows (node, rep_id, rep_mark) of reps.
+
+    All texts are read; only sets that pass a map of what is wanted are moved to meet their node.
+    """
+    spot = lambda *c: F.xxhash64(*c).alias("spot")
+    wanted = docs.sparkSession.sparkContext.broadcast(_bitmap(reps.select(spot("rep_id", "rep_mark")), n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
-            sets = [s.tobytes() for s in shingle_sets(batch, width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sets, pa.binary())], ["node", "members"])
+        words = wanted.value
+        for whole in batches:
+            at = whole.column(3).to_numpy() % (64 * len(words))
+            hit = (words[at >> 6] >> (at & 63)) & 1 > 0
+            for batch in slices(iter([whole.filter(pa.array(hit))]), "text", 1 << 20):
+                sets = [s.tobytes() for s in shingle_sets(batch, width)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(sets, pa.binary())], ["doc_id", "mark", "members"])
 
-    return docs.select("node", "text").mapInArrow(run, "node long, members binary")
+    found = docs.select("doc_id", "mark", "text", spot("doc_id", "mark")).mapInArrow(run, "doc_id long, mark long, members binary")
+    same = (F.col("mark") == F.col("rep_mark")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))
+    return found.join(reps, same).select("node", "members")
 
 
 def agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -303,10 +328,10 @@ def _near_duplicates(rows: DataFrame, width: int, per_hundred: int) -> DataFrame
     members = scratch.save(join_hot(posted, buckets, ["key"], "n").select("key", "node", "pivot"), "members")
     ids = members.select("node").distinct()
     sigs = scratch.save(classes.join(ids, "node", "left_semi").select("node", "n_shingles", "sig", "rep"), "sigs")
-    reps = sigs.select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.mark").alias("mark"))
-    found_rows = marked.join(reps.withColumnRenamed("mark", "rep_mark"), (F.col("mark") == F.col("rep_mark")) & F.col("doc_id").eqNullSafe(F.col("rep_id")))
-    sets = scratch.save(full_sets(found_rows, width), "sets")
-    if sets.count() > sigs.count():  # a row that is there twice
+    reps = sigs.select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.mark").alias("rep_mark"))
+    n = sigs.count()
+    sets = scratch.save(full_sets(marked, reps, n, width), "sets")
+    if sets.count() > n:  # a row that is there twice
         sets = scratch.save(sets.dropDuplicates(["node"]), "sets_once")
 
     pairs = members.where("node <> pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct()
@@ -349,9 +374,20 @@ def _near_duplicates(rows: DataFrame, width: int, per_hundred: int) -> DataFrame
 
 
 def _links(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, least: float, per_hundred: int, scratch: Scratch, step: int) -> DataFrame:
-    """Confirmed pairs, written; what passed the signatures is written too, as it is read by two sides of a star."""
+    """Confirmed pairs, written, that connect whatever the alike pairs would; what passed the signatures is written too.
+
+    A node first meets its least partner. Pairs whose nodes are then linked to the same one would connect nothing more;
+    the rest is confirmed too. So most full sets are moved once, not once a pair.
+    """
     pairs = scratch.save(pairs, f"pairs{step}")
     alike = scratch.save(_alike(pairs, sigs, least), f"alike{step}")
-    links = scratch.save(confirm(alike, sets, per_hundred), f"links{step}")
-    scratch.drop(f"pairs{step}", f"alike{step}")
+    first = alike.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
+    tight = scratch.save(confirm(first, sets, per_hundred), f"tight{step}")
+    rest = alike.join(first, ["u", "v"], "left_anti")
+    for end in ("u", "v"):
+        rest = rest.join(tight.select(F.col("v").alias(end), F.col("u").alias(f"{end}_root")), end, "left")
+    rest = rest.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
+    rest = scratch.save(rest, f"rest{step}")
+    links = scratch.save(tight.union(confirm(rest, sets, per_hundred)), f"links{step}")
+    scratch.drop(f"pairs{step}", f"alike{step}", f"tight{step}", f"rest{step}")
     return links

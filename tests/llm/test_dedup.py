@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -160,3 +161,38 @@ def test_substring_in_two_steps(odd, odd_rows, monkeypatch):
     monkeypatch.setattr(substring, "SLICE", 1 << 12)
     monkeypatch.setattr(substring, "PROBE_BYTES", 8 << 10)
     assert removed(odd) == brute_substring(odd_rows)
+
+
+def test_near_copies_are_confirmed_about_once_each(spark, monkeypatch):
+    rnd = random.Random(9)
+    rows = []
+    for group in range(3):
+        words = [f"w{group}x{k}" for k in range(150)]
+        for copy in range(40):
+            own = list(words)
+            for _ in range(2):
+                own[rnd.randrange(150)] = f"c{copy}"
+            rows.append((100 * group + copy, " ".join(own)))
+    asked = []
+    plain = minhash.confirm
+
+    def counted(pairs, *rest):
+        asked.append(pairs.count())
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(minhash, "confirm", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
+    assert got == {i: i // 100 * 100 for i, _ in rows}
+    assert sum(asked) < 2 * len(rows)  # not once for each pivot of their buckets
+
+
+def test_only_wanted_sets_are_moved(spark):
+    docs = spark.createDataFrame([(k if k else None, f"a{k} b c d e f{k}") for k in range(400)], "doc_id long, text string").withColumn("mark", F.xxhash64("text"))
+    reps = docs.where("doc_id is null or doc_id % 100 = 7").selectExpr("coalesce(doc_id, -1) as node", "doc_id as rep_id", "mark as rep_mark")
+    sets = minhash.full_sets(docs, reps, 5, 5)
+    assert sorted(r.node for r in sets.collect()) == [-1, 7, 107, 207, 307]
+    plan = sets._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("MapInArrow")  # texts don't meet the nodes, sets do
+    words = minhash._bitmap(reps.select(F.xxhash64("rep_id", "rep_mark").alias("spot")), 5)
+    assert sum(bin(int(w) & (2**64 - 1)).count("1") for w in words) == 5
