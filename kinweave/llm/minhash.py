@@ -3,8 +3,9 @@
 Equal shingle sets collapse to a class first, so exact copies cost one row; classes, not ids, are what is linked.
 Classes meet in the buckets of their bands. A bucket compares its members with one pivot, and only buckets whose members
 then still fall into several components go on: to a second pivot, and after that to a grid of the members outside the
-largest component against all members, in cells of bounded size. A cell first compares signatures and names the members
-that have a partner; only for these are full sets fetched, and the cell then gives a forest of links, never all pairs.
+largest component against all members, in cells of bounded size. A cell first compares signatures, then briefs (sets of
+numbers cut short: what they have in common is never too few), and names the members that have a partner; only for these
+are full sets fetched, and the cell then gives a forest of links, never all pairs. Pairs of pivots take the same steps.
 Every link is confirmed on the full sets. Stars are dealt in salted parts (the pivot's row is copied, not its members'),
 and buckets and classes with many rows are joined by broadcast, so no key is one task's.
 
@@ -18,7 +19,7 @@ kept (a component of such rows only has a null component_id); an empty table giv
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ STAR = 2048
 PIVOT_ROUNDS = 2
 #: Most bits of the map of wanted sets (32 MB).
 MAP_BITS = 1 << 28
+#: Members of a set from which its brief has 32 bits each, not 16.
+MANY = 1 << 12
 
 _rng = np.random.Generator(np.random.PCG64(20260202))
 _A = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -166,6 +169,47 @@ def similar(left: np.ndarray, right: np.ndarray, per_hundred: int) -> bool:
     return 100 * common >= per_hundred * (len(left) + len(right) - common)
 
 
+def brief(members: np.ndarray) -> bytes:
+    """The first 16 (of large sets 32) bits of each member of a sorted set, as steps, byte by byte; at the end their width."""
+    width = 2 if len(members) < MANY else 4
+    steps = np.diff(members >> np.uint64(64 - 8 * width), prepend=np.uint64(0)).astype(f"<u{width}")
+    return steps.view(np.uint8).reshape(-1, width).T.tobytes() + bytes([width])
+
+
+def read_brief(data: bytes) -> np.ndarray:
+    width = data[-1]
+    steps = np.frombuffer(data, np.uint8, len(data) - 1).reshape(width, -1).T
+    return np.cumsum(np.ascontiguousarray(steps).view(f"<u{width}").ravel(), dtype=f"<u{width}")
+
+
+def possible(left: np.ndarray, right: np.ndarray, per_hundred: int) -> bool:
+    """False only where the sets of two briefs are not similar: equal members are equal when cut, so the members of one whose
+    cut number the other has are no fewer than the common ones."""
+    small, large = (left, right) if len(left) < len(right) else (right, left)
+    if not len(small) or 100 * len(small) < per_hundred * len(large):
+        return False
+    if small.itemsize != large.itemsize:
+        small, large = ((x if x.itemsize == 2 else (x >> 16).astype("<u2")) for x in (small, large))
+    if small.itemsize == 2:
+        has = np.zeros(1 << 16, bool)
+        has[large] = True
+        common = int(np.count_nonzero(has[small]))
+    else:
+        common = int(np.isin(small, large).sum())
+    return 100 * common >= per_hundred * (len(left) + len(right) - common)
+
+
+def briefs(sets: DataFrame) -> DataFrame:
+    """(node, brief) of (node, members)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = [brief(np.frombuffer(m.as_buffer(), np.uint64)) for m in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.binary())], ["node", "brief"])
+
+    return sets.select("node", "members").mapInArrow(run, "node long, brief binary")
+
+
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Signatures as rows of bytes."""
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
@@ -209,22 +253,32 @@ def _alike(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     return _stars(pairs, sigs.select("node", "sig")).mapInArrow(run, "u long, v long")
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, per_hundred: int) -> DataFrame:
-    """Pairs (u, v) whose full sets have 100 * common >= per_hundred * union. A set is one row of a star, the pivot's is held."""
+def _compared(pairs: DataFrame, payload: DataFrame, read: Callable[[pa.Scalar], np.ndarray], same: Callable[..., bool], per_hundred: int) -> DataFrame:
+    """Pairs (u, v) whose payloads are the same. A payload is one row of a star, the pivot's is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot = np.zeros(0, np.uint64)
         for batch in batches:
             head, keep = np.asarray(batch.column(2).is_null()), np.zeros(batch.num_rows, bool)
             for k, data in enumerate(batch.column(3)):
-                own = np.frombuffer(data.as_buffer(), np.uint64)
+                own = read(data)
                 if head[k]:
                     pivot = own.copy()
                 else:
-                    keep[k] = similar(pivot, own, per_hundred)
+                    keep[k] = same(pivot, own, per_hundred)
             yield batch.select(["u", "v"]).filter(pa.array(keep))
 
-    return _stars(pairs, sets).mapInArrow(run, "u long, v long")
+    return _stars(pairs, payload).mapInArrow(run, "u long, v long")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, per_hundred: int) -> DataFrame:
+    """Pairs (u, v) whose full sets have 100 * common >= per_hundred * union."""
+    return _compared(pairs, sets, lambda data: np.frombuffer(data.as_buffer(), np.uint64), similar, per_hundred)
+
+
+def _plausible(pairs: DataFrame, cut: DataFrame, per_hundred: int) -> DataFrame:
+    """Pairs (u, v) that their briefs don't rule out."""
+    return _compared(pairs, cut, lambda data: read_brief(data.as_py()), possible, per_hundred)
 
 
 def _cells(known: DataFrame) -> DataFrame:
@@ -273,6 +327,28 @@ def _partnered(cells: DataFrame, sigs: DataFrame, least: float, per_hundred: int
     return dealt.mapInArrow(run, cells.schema)
 
 
+def _unruled(cells: DataFrame, sigs: DataFrame, cut: DataFrame, least: float, per_hundred: int) -> DataFrame:
+    """The rows of cells whose member has a partner in another component that neither signatures nor briefs rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in grouped(batches, 3):
+            side, component = cell.column(3).to_numpy(), cell.column(5).to_numpy()
+            sig = _matrix(cell.column(6))
+            own = [read_brief(b) for b in cell.column(7).to_pylist()]
+            right = np.flatnonzero(side == 1)
+            found = np.zeros(len(side), bool)
+            for row in np.flatnonzero(side == 0).tolist():
+                other = right[component[right] != component[row]]
+                for col in other[agree(sig[other], sig[row]) >= least].tolist():
+                    if not (found[row] and found[col]) and possible(own[row], own[col], per_hundred):
+                        found[row] = found[col] = True
+            if found.any():
+                yield from cell.select(list(range(6))).filter(pa.array(found)).combine_chunks().to_batches()
+
+    dealt = cells.join(sigs.select("node", "sig"), "node").join(cut, "node").select(*cells.columns, "sig", "brief")
+    return _sorted_cells(dealt).mapInArrow(run, cells.schema)
+
+
 def _forest(cells: DataFrame, sigs: DataFrame, sets: DataFrame, least: float, per_hundred: int) -> DataFrame:
     """Confirmed links (u, v) of cells: only pairs that the links so far leave in different components are compared, so
     a cell gives fewer links than it has members."""
@@ -333,9 +409,11 @@ def _near_duplicates(rows: DataFrame, width: int, per_hundred: int) -> DataFrame
     sets = scratch.save(full_sets(marked, reps, n, width), "sets")
     if sets.count() > n:  # a row that is there twice
         sets = scratch.save(sets.dropDuplicates(["node"]), "sets_once")
+        scratch.drop("sets")
+    cut = scratch.save(briefs(sets), "briefs")
 
     pairs = members.where("node <> pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct()
-    links = [_links(pairs, sigs, sets, least, per_hundred, scratch, 0)]
+    links = [_links(pairs, sigs, cut, sets, least, per_hundred, scratch, 0)]
     found = scratch.save(components(links[0], scratch, "a"), "found0")
     for step in range(1, PIVOT_ROUNDS + 1):
         known = members.select("key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -348,9 +426,10 @@ def _near_duplicates(rows: DataFrame, width: int, per_hundred: int) -> DataFrame
             others = known.where("component <> high")
             pivots = pivots.join(others.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
             pairs = join_hot(others, pivots, ["key"], "n").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct()
-            more = _links(pairs, sigs, sets, least, per_hundred, scratch, step)
+            more = _links(pairs, sigs, cut, sets, least, per_hundred, scratch, step)
         else:
             cells = scratch.save(_partnered(_cells(known), sigs, least, per_hundred), "cells")
+            cells = scratch.save(_unruled(cells, sigs, cut, least, per_hundred), "unruled")
             more = scratch.save(_forest(cells, sigs, sets, least, per_hundred), f"links{step}")
         links.append(more)
         if more.isEmpty():
@@ -368,19 +447,19 @@ def _near_duplicates(rows: DataFrame, width: int, per_hundred: int) -> DataFrame
     linked = join_hot(linked, of_class, ["hi", "lo", "n_shingles"], "copies").select("doc_id", "n_shingles", "component_id")
     done = alone.union(linked).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
     done = scratch.save(done, "done")
-    scratch.drop("signed", "classes", "buckets", "members", "sigs", "sets", "of_class")
+    scratch.drop("signed", "classes", "buckets", "members", "sigs", "sets", "briefs", "of_class")
     release(rows.sparkSession)
     return done
 
 
-def _links(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, least: float, per_hundred: int, scratch: Scratch, step: int) -> DataFrame:
-    """Confirmed pairs, written, that connect whatever the alike pairs would; what passed the signatures is written too.
+def _links(pairs: DataFrame, sigs: DataFrame, cut: DataFrame, sets: DataFrame, least: float, per_hundred: int, scratch: Scratch, step: int) -> DataFrame:
+    """Confirmed pairs, written, that connect whatever the alike pairs would; what passed signatures and briefs is written too.
 
     A node first meets its least partner. Pairs whose nodes are then linked to the same one would connect nothing more;
     the rest is confirmed too. So most full sets are moved once, not once a pair.
     """
     pairs = scratch.save(pairs, f"pairs{step}")
-    alike = scratch.save(_alike(pairs, sigs, least), f"alike{step}")
+    alike = scratch.save(_plausible(_alike(pairs, sigs, least), cut, per_hundred), f"alike{step}")
     first = alike.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
     tight = scratch.save(confirm(first, sets, per_hundred), f"tight{step}")
     rest = alike.join(first, ["u", "v"], "left_anti")

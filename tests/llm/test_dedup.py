@@ -3,6 +3,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from kinweave.llm import common, exact_dedup, minhash, substring
@@ -196,3 +197,41 @@ def test_only_wanted_sets_are_moved(spark):
     assert plan.index("Join") < plan.index("MapInArrow")  # texts don't meet the nodes, sets do
     words = minhash._bitmap(reps.select(F.xxhash64("rep_id", "rep_mark").alias("spot")), 5)
     assert sum(bin(int(w) & (2**64 - 1)).count("1") for w in words) == 5
+
+
+def test_briefs_rule_out_no_similar_pair():
+    rnd = np.random.default_rng(5)
+    ruled = 0
+    for n in (1, 2, 40, 400, minhash.MANY - 1, minhash.MANY + 3):
+        for gone in (0, n // 20, n // 9, n // 3):
+            left = np.unique(rnd.integers(0, 1 << 64, n, dtype=np.uint64))
+            right = np.unique(np.append(left[gone:], rnd.integers(0, 1 << 64, gone, dtype=np.uint64)))
+            cut = [minhash.read_brief(minhash.brief(x)) for x in (left, right)]
+            assert [len(c) for c in cut] == [len(left), len(right)]
+            assert minhash.possible(*cut, 80) >= minhash.similar(left, right, 80)
+            ruled += not minhash.possible(*cut, 80)
+    assert ruled >= 4  # a third exchanged: no pair for the full sets
+
+
+def test_full_sets_go_to_few_cells(spark, monkeypatch):
+    """Texts that share a bucket but are not similar: their full sets are not dealt to the cells of the grid."""
+    rnd = random.Random(4)
+    rows = []
+    for k in range(120):
+        own = [f"w{i}" for i in range(300)]
+        for i in rnd.sample(range(300), 14):
+            own[i] = f"c{k}x{i}"
+        rows.append((k, " ".join(own)))
+    dealt = []
+    plain = minhash._forest
+
+    def counted(cells, *rest):
+        dealt.append(cells.count())
+        return plain(cells, *rest)
+
+    monkeypatch.setattr(minhash, "_forest", counted)
+    monkeypatch.setattr(minhash, "PIVOT_ROUNDS", 1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, width=2).collect()}
+    assert got == brute_near(rows, 2)
+    assert len(dealt) == 1 and dealt[0] < len(rows)  # all of them, most several times, before
