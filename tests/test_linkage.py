@@ -255,3 +255,20 @@ def test_pairs_carry_no_texts(spark):
     assert sorted((x.q, x.r, x.l_name_s1dup, x.r_name_s1cnt, x.r_name_s23cnt) for x in names.collect()) == [(0, 0, 2, 2, 2), (0, 1, 2, 2, 2), (0, 2, 2, 1, 1), (2, 2, 1, 1, 1)]
     assert sorted((x.q, x.r, x.namelg_s1dup, x.namelg_r_s1cnt) for x in profile.collect()) == [(0, 0, 2, 2), (0, 1, 2, 2), (0, 2, 2, 1), (2, 2, 1, 1)]
     assert sorted((x.q, x.r, x.grp_addr_n) for x in groups.collect()) == [(0, 0, 2), (0, 1, 2), (0, 2, 1), (2, 2, 1)]
+
+
+def test_written_tables_let_go_of_shuffles(spark):
+    """What a table was shuffled by goes once it is written, not at the end of the query."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    home = T.Home(spark, "release")
+    tracker = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    before = tracker.shuffleStatuses().size()
+    for k in range(6):
+        home.save(spark.range(500).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), f"t{k}")
+    end = time.time() + 10
+    while tracker.shuffleStatuses().size() > before + 2 and time.time() < end:
+        time.sleep(0.2)
+    assert tracker.shuffleStatuses().size() <= before + 2
