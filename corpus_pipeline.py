@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm import exact_dedup, minhash, mixing, packing, toxicity
-from kinweave.llm.common import Scratch, partitions, table, text_bytes
+from kinweave.llm.common import Scratch, give_back, partitions, table, text_bytes
 from kinweave.llm.queries import vocabulary
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -37,11 +37,14 @@ def _without(keyed: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    give_back(spark)
     network = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    give_back(spark)
     return toxicity.keep_clean(docs, network)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    give_back(spark, workers=False)
     keyed = _keyed(spark, docs)
     return _without(keyed, exact_dedup.exact_dedup(keyed, id_col="_row"))
 
@@ -53,6 +56,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A draw goes by id (by text without one) and is held against a cell's probability, so rows go by draw and cell."""
+    give_back(spark, workers=False)
     keys = ("draw", *mixing.AXES)
     gone = mixing.mix(docs).where("not kept").select(F.col("doc_id").alias("gone_id"), *[F.col(a).alias(f"gone_{a}") for a in keys]).distinct()
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
@@ -65,6 +69,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    give_back(spark)
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
 
 

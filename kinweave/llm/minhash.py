@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, grouped, join_hot, narrow, release, slices, small_batches, utf8
+from .common import Scratch, give_back, grouped, join_hot, narrow, release, slices, small_batches, utf8
 from .components import components
 from .words import LOWER, digest, hash_spans, mix, spans, windows
 
@@ -393,17 +393,20 @@ def _near_duplicates(rows: DataFrame, width: int, per_hundred: int) -> DataFrame
 
     # a class is a shingle set; its text is read again by the id and the text's hash of one of its rows
     marked = rows.withColumn("mark", F.xxhash64("text"))
+    give_back(rows.sparkSession)
     signed = scratch.save(signatures(marked, width), "signed")
     classes = signed.where("n_shingles > 0").groupBy("hi", "lo", "n_shingles").agg(
         F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "mark")).alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")
     )
     classes = scratch.save(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
+    give_back(rows.sparkSession)
     posted = classes.select(F.explode("bands").alias("key"), "node")
     buckets = scratch.save(posted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1"), "buckets")
     members = scratch.save(join_hot(posted, buckets, ["key"], "n").select("key", "node", "pivot"), "members")
     ids = members.select("node").distinct()
     sigs = scratch.save(classes.join(ids, "node", "left_semi").select("node", "n_shingles", "sig", "rep"), "sigs")
+    give_back(rows.sparkSession)
     reps = sigs.select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.mark").alias("rep_mark"))
     n = sigs.count()
     sets = scratch.save(full_sets(marked, reps, n, width), "sets")
@@ -412,6 +415,7 @@ def _near_duplicates(rows: DataFrame, width: int, per_hundred: int) -> DataFrame
         scratch.drop("sets")
     cut = scratch.save(briefs(sets), "briefs")
 
+    give_back(rows.sparkSession)
     pairs = members.where("node <> pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct()
     links = [_links(pairs, sigs, cut, sets, least, per_hundred, scratch, 0)]
     found = scratch.save(components(links[0], scratch, "a"), "found0")
@@ -421,6 +425,7 @@ def _near_duplicates(rows: DataFrame, width: int, per_hundred: int) -> DataFrame
         known = scratch.save(join_hot(known, spread, ["key"], "n"), f"open{step}")
         if known.isEmpty():
             break
+        give_back(rows.sparkSession)
         if step < PIVOT_ROUNDS:
             pivots = known.where("component = high").groupBy("key").agg(F.min("node").alias("pivot"))
             others = known.where("component <> high")
@@ -439,6 +444,7 @@ def _near_duplicates(rows: DataFrame, width: int, per_hundred: int) -> DataFrame
             every = every.union(more)
         found = scratch.save(components(every, scratch, f"b{step}_"), f"found{step}")
 
+    give_back(rows.sparkSession)
     of_class = classes.select("hi", "lo", "n_shingles", "node", "least_id", "copies").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least_ids = of_class.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
     of_class = scratch.save(join_hot(of_class, least_ids, ["component"], "n").select("hi", "lo", "n_shingles", "component_id", "copies"), "of_class")

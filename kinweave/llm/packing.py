@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, narrow, release, slices, small_batches
+from .common import Scratch, give_back, narrow, release, slices, small_batches
 from .tokens import tokens
 
 #: Documents and gaps that one task sweeps.
@@ -202,6 +202,7 @@ def pack(
     with small_batches(spark):
         cut = pieces(narrow(docs, id_col, text_col), vocabulary, kind, end_id, capacity)
         cut = scratch.save(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    give_back(spark)
     # one number for each length up to the capacity
     counts = {int(r[0]): int(r[1]) for r in cut.groupBy("length").count().collect()}
     packer = _Packer(scratch, capacity)
