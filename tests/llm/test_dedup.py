@@ -1,7 +1,10 @@
 import collections
+import gc
 import hashlib
+import os
 import random
 import re
+import types
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -235,3 +238,38 @@ def test_full_sets_go_to_few_cells(spark, monkeypatch):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, width=2).collect()}
     assert got == brute_near(rows, 2)
     assert len(dealt) == 1 and dealt[0] < len(rows)  # all of them, most several times, before
+
+
+def test_executors_give_memory_back(spark, monkeypatch):
+    """The tasks of give_back collect by themselves, here with the driver's own collection left out."""
+    monkeypatch.setattr(common, "release", lambda _: None)
+    jvm = spark._jvm
+    runtime = jvm.java.lang.Runtime.getRuntime()
+    waste = [jvm.java.nio.ByteBuffer.allocate(48 << 20) for _ in range(3)]
+    used = runtime.totalMemory() - runtime.freeMemory()
+    del waste
+    gc.collect()
+    cluster = types.SimpleNamespace(sparkContext=types.SimpleNamespace(master="local-cluster[1,2,1000]", defaultParallelism=2), range=spark.range, _jvm=jvm)
+    for workers in (False, True):
+        common.give_back(cluster, workers)
+    assert runtime.totalMemory() - runtime.freeMemory() < used - (96 << 20)
+
+
+def test_near_and_pipeline_give_memory_back(spark, odd, monkeypatch):
+    import corpus_pipeline
+
+    calls = []
+    for module in (minhash, exact_dedup, corpus_pipeline):
+        monkeypatch.setattr(module, "give_back", lambda *_, **__: calls.append(module.__name__))
+    minhash.near_duplicates(odd).count()
+    assert len(calls) >= 4
+    for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies, corpus_pipeline.mix_sources):
+        calls.clear()
+        stage(spark, odd.select("doc_id", "text", "lang", "source"), "")
+        assert calls
+
+
+def test_scratch_tables_have_no_marker_file(spark):
+    scratch = Scratch(spark, "marker")
+    assert scratch.save(spark.range(5), "five").count() == 5
+    assert not os.path.exists(f"{scratch.at('five').removeprefix('file://')}/_SUCCESS")
